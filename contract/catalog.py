@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from contract import source_queries
+from contract import plan_queries, source_queries, stats_queries
 
-ALL = {**source_queries.QUERIES}
+ALL = {**plan_queries.QUERIES, **source_queries.QUERIES, **stats_queries.QUERIES}

@@ -32,32 +32,34 @@ cells AS (SELECT product_id, quarter, demand FROM ids CROSS JOIN labels LEFT JOI
 
 def two_level_header(spark, d):
     weeks = V.weekly_quarters(spark, d)
-    day_ = V.week_end(F.to_date("l_shipdate"))
-    first, last = V.table(spark, d, "lineitem").agg(F.min(day_), F.max(day_)).first()
+    ends = V.week_end(F.to_date("l_shipdate"))
+    first, last = V.table(spark, d, "lineitem").agg(F.min(ends), F.max(ends)).first()
     count = (last - first).days // 7 + 1
     position = (F.floor(F.datediff("week_end", F.lit(first)) / 7) + 1).cast("int")
-    columns = list(range(1, count + 1))
-    names = [F.col(f"`{i}`").alias(f"_c{i + 1}") for i in columns]
-    calendar = (
-        weeks.select("week_end", "quarter", "quarter_index", "week_label").distinct().withColumn("pos", position)
-    )
+
+    def sheet(cells):
+        """Rows (row_no, _c0, _c1, pos, cell) to one text column per week."""
+        rows = cells.groupBy("row_no", "_c0", "_c1").agg(
+            F.map_from_entries(F.collect_list(F.struct("pos", "cell"))).alias("m")
+        )
+        weekly = [f"try_element_at(m, {i}) AS _c{i + 1}" for i in range(1, count + 1)]
+        return rows.selectExpr("row_no", "_c0", "_c1", *weekly)
+
+    blank = F.lit(None).cast("string")
+    calendar = weeks.select("week_end", "quarter", "quarter_index", "week_label").distinct().withColumn("pos", position)
     opens = F.min("pos").over(V.Window.partitionBy("quarter_index")) == F.col("pos")
-    heads = calendar.withColumn("top", F.when(opens, F.col("quarter"))).select(
-        "pos", F.inline(F.array(F.struct(F.lit(0).alias("row_no"), F.col("top").alias("cell")), F.struct(F.lit(1).alias("row_no"), F.col("week_label").alias("cell"))))
-    )
-    head_rows = heads.groupBy("row_no").pivot("pos", columns).agg(F.first("cell")).select(
-        "row_no", F.lit(None).cast("string").alias("_c0"), F.lit(None).cast("string").alias("_c1"), *names
-    )
-    body = (
-        V.capacity(weeks)
-        .withColumn("pos", position)
-        .groupBy("product_id", "attribute")
-        .pivot("pos", columns)
-        .agg(F.first(F.format_number("capacity", 0)))
-        .select((V.brand_number() + 1).alias("row_no"), F.col("product_id").alias("_c0"), F.col("attribute").alias("_c1"), *names)
+    top = F.struct(F.lit(0).alias("row_no"), F.when(opens, F.col("quarter")).alias("cell"))
+    under = F.struct(F.lit(1).alias("row_no"), F.col("week_label").alias("cell"))
+    heads = calendar.withColumn("pair", F.array(top, under)).select("pos", F.inline("pair"))
+    body = V.capacity(weeks).select(
+        (V.brand_number() + 1).alias("row_no"),
+        F.col("product_id").alias("_c0"),
+        F.col("attribute").alias("_c1"),
+        position.alias("pos"),
+        F.format_number("capacity", 0).alias("cell"),
     )
-    long = readers.two_level_header_to_long(head_rows.unionByName(body))
-    return publish(long, 1)
+    heads = heads.select("row_no", blank.alias("_c0"), blank.alias("_c1"), "pos", "cell")
+    return publish(readers.two_level_header_to_long(sheet(heads.unionByName(body))), 1)
 
 
 def plan_upsert(spark, d):
@@ -151,7 +153,7 @@ def parse_quarter(spark, d):
 def week_starts(spark, d):
     keyed = V.quarter_units(spark, d).select(
         F.floor(F.col("quarter_index") / 4).cast("int").alias("year"),
-        F.explode(F.array(F.col("quarter_index") % 4 + 1, F.lit(7))).cast("int").alias("quarter_num"),
+        F.explode(F.array((F.col("quarter_index") % 4 + 1).cast("int"), F.lit(7))).alias("quarter_num"),
     ).distinct()
     weeks = keyed.withColumn("week", F.explode(F.sequence(F.lit(0), F.lit(14))))
     return publish(

@@ -178,13 +178,13 @@ def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.withColumn("priority", brand_number())
 
 
-def publish(df: DataFrame, digits: int = 4) -> DataFrame:
+def publish(df: DataFrame, digits: int = 4, **finer: int) -> DataFrame:
     """Result for comparison: doubles rounded, whole numbers as BIGINT, dates as ISO text."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits) + 0.0
+            c = F.round(c, finer.get(f.name, digits)) + 0.0
         elif isinstance(f.dataType, T.IntegralType):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DateType):

@@ -37,9 +37,9 @@ def impute_mean(df: DataFrame, column: str, period: str) -> DataFrame:
     The means are aggregated map-side and joined back; a window would put every product's
     row of a period in one task.
     """
-    means = df.groupBy(period).agg(F.avg(column).alias("_mean"))
-    filled = df.join(means, F.col(period).eqNullSafe(means[period]), "left").drop(means[period])
-    return filled.withColumn(column, F.coalesce(column, "_mean", F.lit(0.0))).drop("_mean")
+    means = df.groupBy(F.col(period).alias("_period")).agg(F.avg(column).alias("_mean"))
+    filled = df.join(means, F.col(period).eqNullSafe(F.col("_period")), "left")
+    return filled.withColumn(column, F.coalesce(column, "_mean", F.lit(0.0))).drop("_period", "_mean")
 
 
 def drop_incomplete(df: DataFrame, subset: Sequence[str]) -> DataFrame:

@@ -107,6 +107,11 @@ def density_long(wide: DataFrame) -> DataFrame:
     )
 
 
+def _sql_text(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def two_level_header_to_long(
     table: DataFrame, row_column: str = "row_no", id_columns: Sequence[str] = ("_c0", "_c1")
 ) -> DataFrame:
@@ -125,23 +130,14 @@ def two_level_header_to_long(
         quarter = top.strip() if top and top.strip() else quarter
         if quarter is not None and label:
             names[cell] = (quarter, label.strip())
-    body = table.where(F.col(row_column) >= 2).select(*id_columns, *names)
-    long = body.unpivot(list(id_columns), list(names), "cell", "raw")
-    lookup = F.create_map(
-        *[
-            part
-            for seq, (cell, (q, label)) in enumerate(names.items(), start=1)
-            for part in (
-                F.lit(cell),
-                F.struct(F.lit(q).alias("q"), F.lit(label).alias("label"), F.lit(seq).alias("seq")),
-            )
-        ]
+    # One SQL expression: building hundreds of columns one by one costs more than the query.
+    cells_sql = ", ".join(
+        f"struct({_sql_text(q)} AS quarter, {_sql_text(label)} AS label, {position} AS position, `{cell}` AS raw)"
+        for position, (cell, (q, label)) in enumerate(names.items(), start=1)
     )
-    return long.withColumn("head", lookup[F.col("cell")]).select(
-        F.col(id_columns[0]).alias("product_id"),
-        F.col(id_columns[1]).alias("attribute"),
-        F.col("head.q").alias("quarter"),
-        F.col("head.label").alias("label"),
-        F.col("head.seq").alias("position"),
-        parse_number(F.col("raw")).alias("value"),
+    return (
+        table.where(F.col(row_column) >= 2)
+        .select(F.col(id_columns[0]).alias("product_id"), F.col(id_columns[1]).alias("attribute"), F.expr(f"inline(array({cells_sql}))"))
+        .withColumn("value", parse_number(F.col("raw")))
+        .drop("raw")
     )
