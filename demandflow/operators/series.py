@@ -111,7 +111,7 @@ def fill_weeks(binned: DataFrame) -> DataFrame:
         "product_id",
         "demand",
         F.col("week_end").alias("_own"),
-        F.explode(F.sequence("week_end", "_until", F.expr("interval 7 days"))).alias("week_end"),
+        F.explode_outer(F.sequence("week_end", "_until", F.expr("interval 7 days"))).alias("week_end"),
     )
     return stretched.select(
         "product_id", "week_end", F.when(F.col("week_end") == F.col("_own"), F.col("demand")).alias("demand")

@@ -180,7 +180,7 @@ def weekly_seasonal_factors(series: DataFrame, value: str = "demand") -> DataFra
             F.max("_rows"),
         ).alias("_factors")
     )
-    return model.select("product_id", F.posexplode("_factors").alias("_pos", "factor")).select(
+    return model.select("product_id", F.posexplode_outer("_factors").alias("_pos", "factor")).select(
         "product_id", (F.col("_pos") + 1).alias("iso_week"), "factor"
     )
 

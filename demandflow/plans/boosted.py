@@ -203,7 +203,11 @@ def _fit(training: DataFrame, columns: Sequence[str], params: TreeParams) -> GBT
 
 
 def _walk(state: DataFrame, model: GBTRegressionModel | None, horizon: int, features, blended) -> DataFrame:
-    """Forecast week by week, feeding each value back as the newest of `hist`."""
+    """Forecast week by week, feeding each value back as the newest of `hist`.
+
+    The outer explode matters: for an inner one Spark would infer a filter on the path and push
+    it, with every step's expression inlined, below all steps.
+    """
     keep = state.columns
     walked = state.withColumn("path", F.array().cast("array<double>"))
     for step in range(horizon):
@@ -225,7 +229,7 @@ def _walk(state: DataFrame, model: GBTRegressionModel | None, horizon: int, feat
         )
         if (step + 1) % STEPS_PER_CHECKPOINT == 0 and step + 1 < horizon:
             walked = cut_lineage(walked)
-    return walked.select("product_id", "last_week", F.posexplode("path").alias("_pos", "forecast")).select(
+    return walked.select("product_id", "last_week", F.posexplode_outer("path").alias("_pos", "forecast")).select(
         "product_id",
         F.date_add("last_week", (F.col("_pos") + 1) * 7).alias("week_end"),
         (F.col("_pos") + 1).alias("step"),

@@ -7,6 +7,9 @@ run of last weeks, both keep the ramp limit. The result is within one lot of the
 
 A quarter's weeks (14 at most) travel as one row with short arrays, so the steps below are
 narrow projections; a product's quarters are folded in order for the rolling plan.
+
+Results are exploded with the outer form, although no array is empty: for the inner one Spark
+infers a filter on the array and would evaluate the whole plan a second time for it.
 """
 
 from __future__ import annotations
@@ -194,7 +197,7 @@ def plan_packed(packed: DataFrame, limits: PlanLimits) -> DataFrame:
 
 def unpack_plan(planned: DataFrame) -> DataFrame:
     """Planned quarters back to one row per week."""
-    weeks = F.explode(F.arrays_zip("seqs", "labels", "b", "cap", "wafers"))
+    weeks = F.explode_outer(F.arrays_zip("seqs", "labels", "b", "cap", "wafers"))
     return planned.withColumn("_w", weeks).select(
         "product_id",
         "quarter",
@@ -308,7 +311,7 @@ def roll_plan(inputs: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame
         F.get("quarters", F.lit(0))["opening"].alias("balance"), F.array().cast(f"array<{_ROLLED}>").alias("rows")
     )
     rolled = chain.select(
-        "product_id", F.explode(F.aggregate("quarters", start, step, lambda acc: acc["rows"])).alias("r")
+        "product_id", F.explode_outer(F.aggregate("quarters", start, step, lambda acc: acc["rows"])).alias("r")
     )
     return rolled.select("product_id", "r.*")
 
