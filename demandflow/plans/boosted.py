@@ -64,7 +64,7 @@ BOUNDARY_STATE = (
     "rolling_median_4", "rolling_std_4", "rolling_median_8", "rolling_std_8", "ewm_mean", "ewm_std",
 )
 
-STEPS_PER_CHECKPOINT = 26
+STEPS_PER_CHECKPOINT = 4
 
 
 def gbt_blend_forecast(
@@ -109,9 +109,9 @@ def gbt_blend_forecast(
             *[parts[c] for c in DEMAND_DATES],
         ]
 
-    def blended(trees: Column, day: Column, step: int) -> Column:
+    def blended(trees: Column, day: Column, step: Column) -> Column:
         calm_mean = F.when(F.col("overall") > 0, F.col("cv"))
-        weight = blend_weight(F.lit(step), F.col("rows"), calm_mean, flagged)
+        weight = blend_weight(step, F.col("rows"), calm_mean, flagged)
         base = seasonal_value(day)
         return zero_floor(F.coalesce(weight * trees + (1 - weight) * base, base))
 
@@ -148,8 +148,8 @@ def boundary_forecast(
             *[parts[c] for c in BOUNDARY_DATES],
         ]
 
-    def blended(trees: Column, day: Column, step: int) -> Column:
-        weight = boundary_blend_weight(F.lit(step), F.col("observations"))
+    def blended(trees: Column, day: Column, step: Column) -> Column:
+        weight = boundary_blend_weight(step, F.col("observations"))
         mixed = pulled(weight * trees + (1 - weight) * boundary_seasonal_value(day))
         return zero_floor(F.coalesce(mixed, boundary_value(day)))
 
@@ -189,6 +189,7 @@ def _fit(training: DataFrame, columns: Sequence[str], params: TreeParams) -> GBT
         array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("features"),
         F.col("demand").alias("label"),
     )
+    vectors = cut_lineage(vectors)
     if vectors.isEmpty():
         return None
     trees = GBTRegressor(
@@ -205,28 +206,28 @@ def _fit(training: DataFrame, columns: Sequence[str], params: TreeParams) -> GBT
 def _walk(state: DataFrame, model: GBTRegressionModel | None, horizon: int, features, blended) -> DataFrame:
     """Forecast week by week, feeding each value back as the newest of `hist`.
 
+    Every step has the same expressions over `hist`, `_day` and `_step`, which are built once.
     The outer explode matters: for an inner one Spark would infer a filter on the path and push
     it, with every step's expression inlined, below all steps.
     """
-    keep = state.columns
+    keep = [c for c in state.columns if c != "hist"]
+    inputs = F.array(*[c.cast("double") for c in features(F.col("hist"), F.col("_day"))])
+    vector = array_to_vector(F.transform("_x", lambda x: F.coalesce(x, F.lit(0.0))))
+    tree = F.lit(None).cast("double")
+    if model is not None:
+        tree = F.when(~F.exists("_x", lambda x: x.isNull()), F.col("prediction") * F.col("scale"))
+    value = blended(tree, F.col("_day"), F.col("_step"))
+    grown = [
+        F.concat(F.array(F.col("_value") / F.col("scale")), F.slice("hist", 1, EWM_FRAME - 1)).alias("hist"),
+        F.concat("path", F.array("_value")).alias("path"),
+    ]
     walked = state.withColumn("path", F.array().cast("array<double>"))
     for step in range(horizon):
         day = F.date_add("last_week", 7 * (step + 1))
-        inputs = F.array(*[c.cast("double") for c in features(F.col("hist"), day)])
-        walked = walked.withColumn("_x", inputs).withColumn("_gap", F.exists("_x", lambda x: x.isNull()))
-        if model is None:
-            walked = walked.withColumn("_tree", F.lit(None).cast("double"))
-        else:
-            filled = F.transform("_x", lambda x: F.coalesce(x, F.lit(0.0)))
-            walked = model.transform(walked.withColumn("features", array_to_vector(filled)))
-            walked = walked.withColumn("_tree", F.when(~F.col("_gap"), F.col("prediction") * F.col("scale")))
-        walked = walked.withColumn("_value", blended(F.col("_tree"), day, step))
-        newest = F.array(F.col("_value") / F.col("scale"))
-        walked = walked.select(
-            *[c for c in keep if c != "hist"],
-            F.concat(newest, F.slice("hist", 1, EWM_FRAME - 1)).alias("hist"),
-            F.concat("path", F.array("_value")).alias("path"),
-        )
+        walked = walked.withColumns({"_day": day, "_step": F.lit(step)}).withColumn("_x", inputs)
+        if model is not None:
+            walked = model.transform(walked.withColumn("features", vector))
+        walked = walked.withColumn("_value", value).select(*keep, *grown)
         if (step + 1) % STEPS_PER_CHECKPOINT == 0 and step + 1 < horizon:
             walked = cut_lineage(walked)
     return walked.select("product_id", "last_week", F.posexplode_outer("path").alias("_pos", "forecast")).select(
