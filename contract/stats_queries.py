@@ -144,8 +144,7 @@ def rolling_std(spark, d):
 
 
 def ewm_features(spark, d):
-    ewm = windows.ewm_columns()
-    line = V.series(spark, d).withColumns(ewm)
+    line = windows.with_ewm(V.series(spark, d))
     return publish(line.withColumn("volatility", windows.volatility(F.col("ewm_mean"), F.col("ewm_std"))), 6)
 
 

@@ -14,6 +14,7 @@ from demandflow.functions.calendar import quarter_index_of_date, quarter_label,
 from demandflow.operators.lookups import ATTRIBUTES, CAPACITY_ATTRIBUTE, with_week_seq
 from demandflow.operators.series import fill_weeks
 from demandflow.plans.capacity import PlanLimits, plan_inputs
+from demandflow.session import cut_lineage
 
 WAFERS_PER_UNIT = 5
 DEMAND_PER_UNIT = 3400.0
@@ -62,9 +63,9 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def quarter_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quarter_units(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
     """product_id, quarter_index, quarter, units, wos."""
-    weeks = brand_weeks(spark, sf_dir)
+    weeks = weeks or brand_weeks(spark, sf_dir)
     units = weeks.groupBy("product_id", quarter_index_of_date(F.col("week_end")).alias("quarter_index")).agg(
         F.sum("quantity").alias("units")
     )
@@ -80,11 +81,11 @@ def brand_wos() -> Column:
     return F.when(rest == 0, 1.82).when(rest == 1, 1.56).otherwise(1.42)
 
 
-def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quarters(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
     """Quarter table with demand, supply, weeks of supply and the plan's balances."""
     from demandflow.operators.inventory import safety_stock
 
-    base = quarter_units(spark, sf_dir).withColumns(
+    base = quarter_units(spark, sf_dir, weeks).withColumns(
         {
             "demand": F.col("units") * DEMAND_PER_UNIT,
             "supply": F.col("units") * SUPPLY_PER_UNIT,
@@ -94,11 +95,11 @@ def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safety_stock(base)
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
     """Long quarterly facts."""
     names = ("demand", "supply", "safety_stock", "wos", "balance")
     cells = F.array(*[F.struct(F.lit(ATTRIBUTES[n]).alias("attribute"), F.col(n).alias("value")) for n in names])
-    return quarters(spark, sf_dir).select(
+    return quarters(spark, sf_dir, weeks).select(
         "product_id",
         F.inline(cells),
         "quarter",
@@ -128,10 +129,10 @@ def wide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def weekly_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly_quarters(spark: SparkSession, sf_dir: str, weeks: DataFrame | None = None) -> DataFrame:
     """brand_weeks with quarter label, week label and week number in the quarter."""
     day = F.col("week_end")
-    labelled = brand_weeks(spark, sf_dir).withColumns(
+    labelled = (weeks or brand_weeks(spark, sf_dir)).withColumns(
         {
             "quarter_index": quarter_index_of_date(day),
             "quarter": quarter_label(quarter_index_of_date(day)),
@@ -169,8 +170,11 @@ def density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = weekly_quarters(spark, sf_dir)
-    return plan_inputs(facts(spark, sf_dir), density(spark, sf_dir), yields(weeks), capacity(weeks))
+    """Plan inputs. Facts, yields and capacity all come from the weekly totals, which are
+    checkpointed so that the lines are read once, not once for each of them."""
+    totals = cut_lineage(brand_weeks(spark, sf_dir))
+    weeks = weekly_quarters(spark, sf_dir, totals)
+    return plan_inputs(facts(spark, sf_dir, totals), density(spark, sf_dir), yields(weeks), capacity(weeks))
 
 
 def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,47 @@ def backtest_split(series: DataFrame, k: int | None = 13) -> DataFrame:
     )
 
 
+def training_rows(series: DataFrame, k: int | None = 13, least_rows: int = 1) -> DataFrame:
+    """Training rows of a backtest, the held-out rows carried along by the last one.
+
+    `ahead` is an array of (week_end, actual) with one entry per test row, null on the other
+    rows. Keeping both in one table means the history is read once and no join brings the test
+    rows back. A product with fewer than `least_rows` rows before the test rows keeps just its
+    last row, with `too_short` set and nothing ahead.
+    """
+    frame = in_time().rowsBetween(1, 4 if k is None else k)
+    coming = F.collect_list(F.struct("week_end", F.col("demand").alias("actual"))).over(frame)
+    split = backtest_split(series, k).withColumns(
+        {
+            "too_short": F.col("rows") < F.col("test_rows") + least_rows,
+            "_rank": F.row_number().over(from_end()),
+            "_coming": coming,
+        }
+    )
+    short = F.col("too_short")
+    ahead = F.when(~short & (F.col("_rank") == F.col("test_rows") + 1), F.col("_coming"))
+    return split.where(F.when(short, F.col("_rank") == 1).otherwise(~F.col("is_test"))).select(
+        "product_id", "week_end", "demand", ahead.alias("ahead"), "too_short", F.col("rows").alias("all_rows")
+    )
+
+
+def next_weeks(model: DataFrame, horizon: int) -> DataFrame:
+    """Model rows (with `last_week`) repeated for each of the `horizon` weeks ahead."""
+    steps = model.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return steps.withColumn("week_end", F.date_add("last_week", F.col("step") * 7))
+
+
+def held_out_weeks(model: DataFrame) -> DataFrame:
+    """Model rows repeated for each held-out week: `step`, `week_end`, `actual` (all null for
+    a product too short to test)."""
+    return model.select("*", F.posexplode_outer("ahead").alias("_pos", "_week")).select(
+        *model.columns, (F.col("_pos") + 1).alias("step"), F.col("_week.week_end"), F.col("_week.actual")
+    )
+
+
+CARRIED = ("ahead", "too_short", "all_rows")
+
+
 def order_series(df: DataFrame) -> DataFrame:
     """Rows by product, year and quarter."""
     return df.orderBy("product_id", "year", "quarter_num")

@@ -253,9 +253,9 @@ def horizon_demand(forecast: DataFrame) -> DataFrame:
     return forecast.groupBy("product_id").agg(F.sum("forecast").alias("demand"))
 
 
-def best_params(scored: DataFrame) -> DataFrame:
+def best_params(scored: DataFrame, *keep: str) -> DataFrame:
     """Parameters with the least MAPE per product; the earlier grid position wins a tie."""
-    return scored.groupBy("product_id").agg(
+    return scored.groupBy("product_id", *keep).agg(
         F.min_by("params", F.when(F.col("mape").isNotNull(), F.struct("mape", "grid_idx"))).alias("params"),
         F.min("mape").alias("mape"),
     )

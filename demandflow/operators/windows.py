@@ -22,7 +22,7 @@ BOUNDARY_LAGS = (1, 2, 4, 8, 13)
 
 EWM_SPAN = 8
 EWM_DECAY = (EWM_SPAN - 1) / (EWM_SPAN + 1)
-EWM_FRAME = 128  # the decay to this power is below 1e-13, under double rounding
+EWM_FRAME = 128  # the decay to this power is about 1e-14: older values no longer count
 
 
 def row_count() -> Column:
@@ -48,54 +48,80 @@ def rolling_std(window: int, value: str = "demand") -> Column:
     return F.when(enough, F.stddev_samp(value).over(frame))
 
 
-def ewm_columns(value: str = "demand", min_points_std: int = 2) -> dict[str, Column]:
-    """`ewm_mean` and bias-corrected `ewm_std` (span 8, weights by distance in rows).
+def with_ewm(series: DataFrame, value: str = "demand", min_points_std: int = 2) -> DataFrame:
+    """Add `ewm_mean` and bias-corrected `ewm_std` (span 8, weights by distance in rows).
 
-    Missing values carry no weight. Weights further back than the frame are too small to
-    change a double, which keeps the frame, and so the work per row, fixed.
+    Missing values carry no weight. A product's weeks are folded once in order, so the work is
+    one step a row; a windowed sum would revisit the whole history for every row.
     """
-    frame = in_time().rowsBetween(-(EWM_FRAME - 1), 0)
-    recent = F.reverse(F.collect_list(F.struct(F.col(value).alias("v"))).over(frame))
-    return ewm_of(F.transform(recent, lambda r: r["v"]), min_points_std)
+    columns = [c for c in series.columns if c != "product_id"]
+    rows = F.array_sort(F.collect_list(F.struct(F.col("week_end").alias("_at"), *columns)))
+    packed = series.groupBy("product_id").agg(rows.alias("_rows"))
+    path_type = "array<struct<mean:double,std:double>>"
+
+    def step(acc: Column, row: Column) -> Column:
+        grown = _weighted_step(_decayed(acc["s"]), row[value])
+        return F.struct(
+            grown.alias("s"),
+            F.concat(acc["path"], F.array(_ewm_result(grown, min_points_std)).cast(path_type)).alias("path"),
+        )
+
+    start = F.struct(_no_weight().alias("s"), F.array().cast(path_type).alias("path"))
+    path = F.aggregate("_rows", start, step, lambda acc: acc["path"])
+    merged = F.zip_with(
+        "_rows",
+        path,
+        lambda row, e: F.struct(*[row[c].alias(c) for c in columns], e["mean"].alias("ewm_mean"), e["std"].alias("ewm_std")),
+    )
+    return packed.select("product_id", F.inline_outer(merged))
 
 
 def ewm_of(newest_first: Column, min_points_std: int = 2) -> dict[str, Column]:
     """`ewm_mean` and `ewm_std` of an array of at most EWM_FRAME values, newest first."""
-    weighted = F.transform(
-        newest_first,
-        lambda v, i: F.struct(
-            F.when(v.isNotNull(), F.pow(F.lit(EWM_DECAY), i)).otherwise(0.0).alias("w"),
-            F.coalesce(v, F.lit(0.0)).alias("v"),
-        ),
-    )
-    zero = F.struct(
-        F.lit(0.0).alias("w"), F.lit(0.0).alias("w2"), F.lit(0.0).alias("mean"),
-        F.lit(0.0).alias("m2"), F.lit(0).alias("n"),
-    )
-    spread = lambda s: s["m2"] * s["w"] / F.nullif(s["w"] * s["w"] - s["w2"], F.lit(0.0))
     stats = F.aggregate(
-        weighted,
-        zero,
-        _weighted_step,
-        lambda s: F.struct(
-            F.when(s["n"] >= 1, s["mean"]).alias("mean"),
-            F.when(s["n"] >= max(2, min_points_std), F.sqrt(spread(s))).alias("std"),
-        ),
+        F.reverse(newest_first),
+        _no_weight(),
+        lambda acc, v: _weighted_step(_decayed(acc), v),
+        lambda acc: _ewm_result(acc, min_points_std),
     )
     return {"ewm_mean": stats["mean"], "ewm_std": stats["std"]}
 
 
-def _weighted_step(acc: Column, x: Column) -> Column:
-    """Running weighted mean and sum of squares (one observation at a time)."""
-    total = acc["w"] + x["w"]
-    delta = x["v"] - acc["mean"]
-    mean = F.when(x["w"] > 0, acc["mean"] + delta * x["w"] / total).otherwise(acc["mean"])
+def _no_weight() -> Column:
+    names = ("w", "w2", "mean", "m2")
+    return F.struct(*[F.lit(0.0).alias(c) for c in names], F.lit(0).alias("n"))
+
+
+def _decayed(s: Column) -> Column:
+    """State one row later: every weight shrinks by the decay."""
+    return F.struct(
+        (s["w"] * EWM_DECAY).alias("w"),
+        (s["w2"] * EWM_DECAY * EWM_DECAY).alias("w2"),
+        s["mean"].alias("mean"),
+        (s["m2"] * EWM_DECAY).alias("m2"),
+        s["n"].alias("n"),
+    )
+
+
+def _weighted_step(s: Column, v: Column) -> Column:
+    """Add one observation of weight 1 to the running weighted mean and sum of squares."""
+    delta = v - s["mean"]
+    share = delta / (s["w"] + 1)
+    added = F.struct(
+        (s["w"] + 1).alias("w"),
+        (s["w2"] + 1).alias("w2"),
+        (s["mean"] + share).alias("mean"),
+        (s["m2"] + delta * (delta - share)).alias("m2"),
+        (s["n"] + 1).alias("n"),
+    )
+    return F.when(v.isNotNull(), added).otherwise(s)
+
+
+def _ewm_result(s: Column, min_points_std: int) -> Column:
+    spread = s["m2"] * s["w"] / F.nullif(s["w"] * s["w"] - s["w2"], F.lit(0.0))
     return F.struct(
-        total.alias("w"),
-        (acc["w2"] + x["w"] * x["w"]).alias("w2"),
-        mean.alias("mean"),
-        (acc["m2"] + x["w"] * delta * (x["v"] - mean)).alias("m2"),
-        (acc["n"] + F.when(x["w"] > 0, 1).otherwise(0)).alias("n"),
+        F.when(s["n"] >= 1, s["mean"]).alias("mean"),
+        F.when(s["n"] >= max(2, min_points_std), F.sqrt(spread)).alias("std"),
     )
 
 
@@ -118,7 +144,7 @@ def volatility(mean: Column, std: Column) -> Column:
 
 def weekly_features(series: DataFrame) -> DataFrame:
     """Demand-model features. A feature is null throughout when the series is too short for it."""
-    out = series.withColumn("rows", row_count())
+    out = with_ewm(series).withColumn("rows", row_count())
     n = F.col("rows")
     longer = {f"lag_{k}": n > k for k in DEMAND_LAGS}
     out = out.withColumns({c: F.when(longer[c], e) for c, e in lag_columns(DEMAND_LAGS).items()})
@@ -127,7 +153,7 @@ def weekly_features(series: DataFrame) -> DataFrame:
             "q_q_change": F.when(n > 13, ratio_to_lag13()),
             "rolling_median_4": F.when(n > 4, rolling_median(4)),
             "direction": F.when(n > 8, direction()),
-            **{c: F.when(n > 8, e) for c, e in ewm_columns().items()},
+            **{c: F.when(n > 8, F.col(c)) for c in ("ewm_mean", "ewm_std")},
         }
     )
     parts = date_features(F.col("week_end"))
@@ -145,9 +171,8 @@ def weekly_features(series: DataFrame) -> DataFrame:
 
 def boundary_features(series: DataFrame) -> DataFrame:
     """Capacity-model features, null throughout when the series is too short for them."""
-    out = series.withColumn("rows", row_count())
+    out = with_ewm(series, min_points_std=4).withColumn("rows", row_count())
     n = F.col("rows")
-    ewm = ewm_columns(min_points_std=4)
     parts = date_features(F.col("week_end"))
     dates = ("quarter", "month", "week", "day_of_year", "day_of_month", "day_of_week", "year")
     return out.withColumns(
@@ -155,8 +180,7 @@ def boundary_features(series: DataFrame) -> DataFrame:
             **{f"lag_{k}": F.when(n > k, F.lag("demand", k).over(in_time())) for k in BOUNDARY_LAGS},
             **{f"rolling_median_{w}": F.when(n >= w, rolling_median(w)) for w in (4, 8)},
             **{f"rolling_std_{w}": F.when(n >= w, rolling_std(w)) for w in (4, 8)},
-            "ewm_mean": F.when(n > 4, ewm["ewm_mean"]),
-            "ewm_std": F.when(n > 4, ewm["ewm_std"]),
+            **{c: F.when(n > 4, F.col(c)) for c in ("ewm_mean", "ewm_std")},
             **{c: parts[c] for c in dates},
         }
     )

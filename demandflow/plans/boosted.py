@@ -76,10 +76,12 @@ def gbt_blend_forecast(
 ) -> DataFrame:
     """product_id, week_end, step, forecast: trees blended with the seasonal forecast.
 
+    The weekly series is written once first: training, seasonal model and state all read it.
     Features of a week use the weeks before it only. A product with a missing feature gets the
     seasonal value for that week.
     """
     flagged = _flag(flagged_ids)
+    series = cut_lineage(series)
     cleaned = outliers_auto(series, flagged, spike).select(
         "product_id", "week_end", F.col("adjusted").alias("demand"), "cv"
     )
@@ -90,7 +92,7 @@ def gbt_blend_forecast(
     training = known.withColumns({c: F.lag(c, 1).over(in_time()) for c in DEMAND_STATE}).dropna(
         subset=["demand", *columns]
     )
-    seasonal = seasonal_model(series, flagged_ids, spike)
+    seasonal = seasonal_model(series, flagged_ids, spike).drop("last_week")
     state = _latest(scaled, F.max("cv").alias("cv")).join(seasonal, "product_id")
 
     def features(hist: Column, day: Column) -> list[Column]:
@@ -125,6 +127,7 @@ def boundary_forecast(
 
     A product with a missing feature gets the baseline for that week.
     """
+    series = cut_lineage(series)
     cleaned = outliers_clip(series, spike).select("product_id", "week_end", F.col("adjusted").alias("demand"))
     scaled = _scaled(cleaned)
     lags = [f"lag_{k}" for k in BOUNDARY_LAGS]
@@ -134,7 +137,7 @@ def boundary_forecast(
         .withColumns({c: F.lag(c, 1).over(in_time()) for c in BOUNDARY_STATE})
         .dropna(subset=["demand", *columns])
     )
-    state = _latest(scaled).join(boundary_model(series, spike), "product_id")
+    state = _latest(scaled).join(boundary_model(series, spike).drop("last_week"), "product_id")
 
     def features(hist: Column, day: Column) -> list[Column]:
         ewm = ewm_of(hist, 4)

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandflow.functions.numeric import nonneg_int, ratio, shrink_to_mean, zero_floor
 from demandflow.operators.outliers import outliers_clip
-from demandflow.operators.series import by_product, backtest_split, future_weeks
+from demandflow.operators.series import CARRIED, by_product, held_out_weeks, next_weeks, training_rows
 
 SENSITIVITY = 0.3
 MIN_TRAIN_ROWS = 5
 
 
-def boundary_model(series: DataFrame, spike: float = 2.5) -> DataFrame:
-    """One row per product: mean, population deviation, count, and factor per quarter (map)."""
+def boundary_model(series: DataFrame, spike: float = 2.5, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per product: mean, population deviation, count, and mean per quarter (map).
+
+    `carry` names columns of the series whose first known value goes along.
+    """
+    along = [F.first(c, ignorenulls=True).alias(c) for c in carry]
     cleaned = outliers_clip(series, spike).withColumns(
         {"_std": F.stddev_pop("adjusted").over(by_product()), "_n": F.count("adjusted").over(by_product())}
     )
     quarters = cleaned.groupBy("product_id", F.quarter("week_end").alias("_q")).agg(
-        F.sum("adjusted").alias("_sum"), F.count("adjusted").alias("_cnt"), F.max("_std").alias("_std"), F.max("_n").alias("_n")
-    )
+        F.sum("adjusted").alias("_sum"), F.count("adjusted").alias("_cnt"), F.max("_std").alias("_std"), F.max("_n").alias("_n"),
+        F.max("week_end").alias("last_week"), *along,
+    )
     own = ratio(F.col("_sum"), F.col("_cnt"))
     return quarters.groupBy("product_id").agg(
         ratio(F.sum("_sum"), F.sum("_cnt")).alias("level"),
         F.max("_std").alias("spread"),
         F.max("_n").alias("observations"),
         F.map_from_entries(F.collect_list(F.struct("_q", own))).alias("quarter_levels"),
+        F.max("last_week").alias("last_week"),
+        *along,
     )
 
 
@@ -51,22 +60,15 @@ def boundary_value(week_end: Column) -> Column:
 
 def boundary_baseline(series: DataFrame, horizon: int = 13, spike: float = 2.5) -> DataFrame:
     """product_id, week_end, step, forecast from mean, quarter factor and pull to the mean."""
-    return (
-        boundary_model(series, spike)
-        .join(future_weeks(series, horizon), "product_id")
-        .select("product_id", "week_end", "step", boundary_value(F.col("week_end")).alias("forecast"))
-    )
+    ahead = next_weeks(boundary_model(series, spike), horizon)
+    return ahead.select("product_id", "week_end", "step", boundary_value(F.col("week_end")).alias("forecast"))
 
 
 def boundary_baseline_pairs(series: DataFrame, spike: float = 2.5) -> DataFrame:
     """Backtest pairs over the last third of the rows, four at most."""
-    split = backtest_split(series, None)
-    train = split.where(~F.col("is_test")).select("product_id", "week_end", "demand")
-    test = split.where(F.col("is_test") & (F.col("rows") >= MIN_TRAIN_ROWS + F.col("test_rows"))).select(
-        "product_id", "week_end", F.col("demand").alias("actual")
-    )
-    return boundary_model(train, spike).join(test, "product_id").select(
-        "product_id", "week_end", "actual", boundary_value(F.col("week_end")).alias("predicted")
+    model = boundary_model(training_rows(series, None, MIN_TRAIN_ROWS), spike, CARRIED)
+    return held_out_weeks(model).select(
+        "product_id", "too_short", "week_end", "actual", boundary_value(F.col("week_end")).alias("predicted")
     )
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandflow.operators.lookups import facts_by_quarter, previous_quarter_balance, yield_x_capacity
+from demandflow.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -195,7 +196,7 @@ def plan_packed(packed: DataFrame, limits: PlanLimits) -> DataFrame:
     ).drop("_u", "_plan")
 
 
-def unpack_plan(planned: DataFrame) -> DataFrame:
+def unpack_plan(planned: DataFrame, *extra: str) -> DataFrame:
     """Planned quarters back to one row per week."""
     weeks = F.explode_outer(F.arrays_zip("seqs", "labels", "b", "cap", "wafers"))
     return planned.withColumn("_w", weeks).select(
@@ -212,6 +213,7 @@ def unpack_plan(planned: DataFrame) -> DataFrame:
         "safety_stock",
         "demand",
         "opening",
+        *extra,
     )
 
 
@@ -243,28 +245,24 @@ def rescue_plan(inputs: DataFrame, priority: DataFrame, limits: PlanLimits = Pla
     """Plan, and plan again with a donor's leftover capacity where no plan was found.
 
     The donor is the product one priority higher. It is planned on its own capacity even if it
-    was rescued itself, so every rescue runs at once, whatever the number of priorities.
+    was rescued itself, so every rescue runs at once, whatever the number of priorities. A donor
+    without a plan has nothing left. The first plans, one short row per quarter, are
+    checkpointed because donors, rescues and kept plans all read them.
     `priority`: product_id, priority (1 is highest). Adds `rescued`.
     """
     ranked = inputs.join(priority.select("product_id", "priority"), "product_id")
-    first = plan_packed(pack_quarters(ranked, "priority"), limits)
-    donor = first.select(
+    first = cut_lineage(plan_packed(pack_quarters(ranked, "priority"), limits))
+    donor = first.where(F.col("feasible")).select(
         (F.col("priority") + 1).alias("priority"),
         "quarter",
         F.zip_with("cap", "wafers", lambda c, w: c - w).alias("leftover"),
     )
-    failed = first.where(~F.col("feasible"))
-    raised = failed.drop("feasible", "band_too_narrow", "wafers").join(donor, ["priority", "quarter"], "left")
-    raised = raised.withColumn(
-        "cap",
-        F.transform("cap", lambda c, i: c + F.coalesce(F.get(F.col("leftover"), i), F.lit(0.0))),
-    ).drop("leftover")
-    second = plan_packed(raised, limits).withColumn("rescued", F.col("feasible"))
-    kept = first.where(F.col("feasible")).withColumn("rescued", F.lit(False))
-    both = kept.unionByName(second)
-    return unpack_plan(both).join(
-        both.select("product_id", "quarter", "rescued"), ["product_id", "quarter"]
+    raised = first.where(~F.col("feasible")).join(donor, ["priority", "quarter"], "left").withColumn(
+        "cap", F.transform("cap", lambda c, i: c + F.coalesce(F.get(F.col("leftover"), i), F.lit(0.0)))
     )
+    second = plan_packed(raised.select(*first.columns), limits).withColumn("rescued", F.col("feasible"))
+    kept = first.where(F.col("feasible")).withColumn("rescued", F.lit(False))
+    return unpack_plan(kept.unionByName(second), "rescued")
 
 
 _ROLLED = (

@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 from demandflow.functions.calendar import week_of_quarter
 from demandflow.functions.numeric import ratio, recency_weight, zero_floor
 from demandflow.operators.outliers import outliers_auto
-from demandflow.operators.series import by_product, from_end, in_time, backtest_split, future_weeks
+from demandflow.operators.series import (
+    CARRIED,
+    by_product,
+    from_end,
+    held_out_weeks,
+    in_time,
+    next_weeks,
+    training_rows,
+)
 from demandflow.operators.stats import RECENT_ROWS, YEAR_ROWS, forecast_accuracy, season_cells
 from demandflow.operators.windows import DEMAND_LAGS
 
@@ -38,11 +46,16 @@ def _with_usable_row(series: DataFrame) -> DataFrame:
 
 
 def seasonal_model(
-    series: DataFrame, flagged_ids: Sequence[str] = (), spike: float = SPIKE, flagged_spike: float = FLAGGED_SPIKE
+    series: DataFrame,
+    flagged_ids: Sequence[str] = (),
+    spike: float = SPIKE,
+    flagged_spike: float = FLAGGED_SPIKE,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per product: overall mean, trend, cell means, quarter and week factors, usable.
+    """One row per product: overall mean, trend, cell means, quarter and week means, usable.
 
-    Flagged (volatile) products take their trend from weighted calendar quarters.
+    Flagged (volatile) products take their trend from weighted calendar quarters. `carry`
+    names columns of the series whose first known value goes along.
     """
     flagged = _flag(flagged_ids)
     threshold = F.when(flagged, flagged_spike).otherwise(F.lit(spike))
@@ -86,6 +99,8 @@ def seasonal_model(
         F.max("_rows").alias("rows"),
         F.max("_quarters").alias("quarters"),
         F.max("_usable").alias("usable"),
+        F.max("week_end").alias("last_week"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
     )
     by_q = W.partitionBy("product_id", "quarter_num")
     by_w = W.partitionBy("product_id", "week_of_quarter")
@@ -110,6 +125,8 @@ def seasonal_model(
         F.max("rows").alias("rows"),
         F.max("quarters").alias("_quarters"),
         F.max("usable").alias("usable"),
+        F.max("last_week").alias("last_week"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
     )
     overall = F.col("overall")
     flagged_level = F.when((F.col("rows") >= YEAR_ROWS) & (F.col("_quarters") >= 4), F.col("_weighted")).otherwise(
@@ -119,8 +136,9 @@ def seasonal_model(
     plain = ~flagged & (F.col("rows") < RECENT_ROWS)
     trend = F.when(plain | ~F.coalesce(overall > 0, F.lit(False)), 1.0).otherwise(level / overall)
     return model.withColumn("trend", trend).select(
-        "product_id", "overall", "trend", "cell_means", "quarter_means", "week_means", "rows", "usable"
-    )
+        "product_id", "overall", "trend", "cell_means", "quarter_means", "week_means", "rows", "usable",
+        "last_week", *carry,
+    )
 
 
 def _cell_key(quarter: Column, week: Column) -> Column:
@@ -151,39 +169,31 @@ def seasonal_forecast(
     series: DataFrame, horizon: int = 13, flagged_ids: Sequence[str] = (), spike: float = SPIKE
 ) -> DataFrame:
     """product_id, week_end, step, forecast for the `horizon` weeks after each series."""
-    model = seasonal_model(series, flagged_ids, spike)
-    weeks = future_weeks(series, horizon)
-    return model.join(weeks, "product_id").select(
-        "product_id", "week_end", "step", seasonal_value(F.col("week_end")).alias("forecast")
-    )
+    ahead = next_weeks(seasonal_model(series, flagged_ids, spike), horizon)
+    return ahead.select("product_id", "week_end", "step", seasonal_value(F.col("week_end")).alias("forecast"))
 
 
 def seasonal_backtest_pairs(series: DataFrame, k: int = 13, spike: float = SPIKE) -> DataFrame:
-    """Forecast the last `k` weeks from the ones before: product_id, week_end, actual, predicted.
-
-    Products with no more than `k` rows give no row.
-    """
-    split = backtest_split(series, k).where(F.col("rows") > F.col("test_rows"))
-    model = seasonal_model(split.where(~F.col("is_test")).select("product_id", "week_end", "demand"), (), spike)
-    test = split.where(F.col("is_test")).select("product_id", "week_end", F.col("demand").alias("actual"))
-    return model.join(test, "product_id").select(
-        "product_id", "week_end", "actual", seasonal_value(F.col("week_end")).alias("predicted")
+    """Forecast the last `k` weeks from the ones before: product_id, too_short, week_end, actual,
+    predicted. A product with no more than `k` rows gives one row without week."""
+    model = seasonal_model(training_rows(series, k), (), spike, carry=CARRIED)
+    return held_out_weeks(model).select(
+        "product_id", "too_short", "week_end", "actual", seasonal_value(F.col("week_end")).alias("predicted")
     )
 
 
-def backtest_metrics(series: DataFrame, pairs: DataFrame, k: int = 13) -> DataFrame:
-    """Accuracy of a backtest for every product of the series.
+def backtest_metrics(pairs: DataFrame) -> DataFrame:
+    """Accuracy per product of backtest pairs.
 
     `error` says why a product has none: too short, or no actual value in the test weeks.
     """
-    counts = series.groupBy("product_id").agg(F.count(F.lit(1)).alias("_rows"))
-    scored = counts.join(forecast_accuracy(pairs, "product_id"), "product_id", "left")
-    error = F.when(F.col("_rows") <= k, "Not enough data").when(F.col("mae").isNull(), "No valid actual values")
-    return scored.withColumn("error", error).drop("_rows")
+    scored = forecast_accuracy(pairs, "product_id", "too_short")
+    error = F.when(F.col("too_short"), "Not enough data").when(F.col("mae").isNull(), "No valid actual values")
+    return scored.withColumn("error", error).drop("too_short")
 
 
 def seasonal_backtest(series: DataFrame, k: int = 13, spike: float = SPIKE) -> DataFrame:
-    return backtest_metrics(series, seasonal_backtest_pairs(series, k, spike), k)
+    return backtest_metrics(seasonal_backtest_pairs(series, k, spike))
 
 
 def with_missing_products(forecast: DataFrame, selected: DataFrame, horizon: int) -> DataFrame:

@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 
 from demandflow.functions.numeric import median_of, recency_weight, zero_floor
 from demandflow.operators.outliers import capped_value, with_level_stats
-from demandflow.operators.series import by_product, from_end, in_time, backtest_split, future_weeks
+from demandflow.operators.series import (
+    CARRIED,
+    by_product,
+    held_out_weeks,
+    in_time,
+    next_weeks,
+    training_rows,
+)
 from demandflow.operators.stats import best_params, forecast_accuracy, trend_label, week_factor_array
 from demandflow.plans.seasonal import backtest_metrics
 
@@ -31,17 +38,28 @@ UP_ROWS, UP_ALPHA = 52, 0.6
 SPIKE_MIX = 0.6
 
 
-def smoothing_model(series: DataFrame, spikes: Sequence[float], n_recents: Sequence[int]) -> DataFrame:
+def smoothing_model(
+    series: DataFrame, spikes: Sequence[float], n_recents: Sequence[int], carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per product and outlier threshold, with everything a forecast needs.
 
-    Missing weeks are left out first. `levels` maps a number of recent weeks to its weighted
-    mean; `last_year` holds the observed values of the year before the series' end.
+    Missing weeks count for nothing: positions, ranks and `rows` are over observed weeks.
+    `levels` maps a number of recent weeks to its weighted mean; `last_year` holds the observed
+    values of the year before the series' end. `carry` names columns whose first known value
+    goes along.
     """
     lengths = sorted({m for n in n_recents for m in (n, min(n, DOWN_ROWS), min(n, UP_ROWS))})
-    ended = series.withColumn("_end", F.max("week_end").over(by_product()))
-    observed = ended.where(F.col("demand").isNotNull())
-    placed = with_level_stats(observed).withColumns(
-        {"_pos": F.row_number().over(in_time()), "_rank": F.row_number().over(from_end())}
+    known = F.count("demand")
+    placed = (
+        with_level_stats(series)
+        .withColumns(
+            {
+                "_end": F.max("week_end").over(by_product()),
+                "rows": F.col("observations"),
+                "_pos": known.over(in_time().rowsBetween(W.unboundedPreceding, 0)),
+            }
+        )
+        .withColumn("_rank", F.when(F.col("demand").isNotNull(), F.col("rows") - F.col("_pos") + 1))
     )
     by_spike = W.partitionBy("product_id", "spike")
     cleaned = (
@@ -57,7 +75,7 @@ def smoothing_model(series: DataFrame, spikes: Sequence[float], n_recents: Seque
         w = F.when(F.col("_rank") <= used, recency_weight(F.col("_rank"), used, -1.5))
         return F.sum(w * v).alias(f"_num{length}"), F.sum(w).alias(f"_den{length}")
 
-    in_last_year = F.col("week_end") >= F.date_add("_end", -357)
+    in_last_year = F.col("demand").isNotNull() & (F.col("week_end") >= F.date_add("_end", -357))
     weekly = cleaned.groupBy("product_id", "spike", F.weekofyear("week_end").alias("_week")).agg(
         F.percentile(v, F.lit(0.5)).alias("_median"),
         F.max("_overall").alias("_overall"),
@@ -69,6 +87,8 @@ def smoothing_model(series: DataFrame, spikes: Sequence[float], n_recents: Seque
         *[F.max(F.when(F.col("_rank") == i, v)).alias(f"_v{i}") for i in range(1, 5)],
         *[c for length in lengths for c in weighted(length)],
         F.collect_list(F.when(in_last_year, F.struct("week_end", "demand"))).alias("_year"),
+        F.max("_end").alias("last_week"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
     )
     model = weekly.groupBy("product_id", "spike").agg(
         F.max("rows").alias("rows"),
@@ -87,6 +107,8 @@ def smoothing_model(series: DataFrame, spikes: Sequence[float], n_recents: Seque
             ]
         ).alias("levels"),
         F.map_from_entries(F.flatten(F.collect_list("_year"))).alias("last_year"),
+        F.max("last_week").alias("last_week"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry],
     )
     previous = median_of(F.col("_before"))
     return model.select(
@@ -99,6 +121,8 @@ def smoothing_model(series: DataFrame, spikes: Sequence[float], n_recents: Seque
         trend_label(F.col("rows"), F.col("_first"), F.col("_second")).alias("trend"),
         previous.alias("previous_median"),
         F.coalesce(F.col("_v1") > previous * (1 + F.col("spike") / 5), F.lit(False)).alias("is_spike"),
+        "last_week",
+        *carry,
     )
 
 
@@ -122,18 +146,17 @@ def smoothing_forecast(
     series: DataFrame, horizon: int = 13, n_recent: int = 26, alpha: float = 0.6, spike: float = 2.5
 ) -> DataFrame:
     """product_id, week_end, step, forecast; zeros for a series without any value."""
-    model = smoothing_model(series, [spike], [n_recent])
     value = smoothing_value(F.col("week_end"), F.col("step"), F.lit(n_recent), F.lit(alpha))
-    weeks = future_weeks(series, horizon)
-    return weeks.join(model, "product_id", "left").select(
-        "product_id", "week_end", "step", F.coalesce(value, F.lit(0.0)).alias("forecast")
-    )
+    ahead = next_weeks(smoothing_model(series, [spike], [n_recent]), horizon)
+    return ahead.select("product_id", "week_end", "step", value.alias("forecast"))
 
 
 def smoothing_grid_pairs(series: DataFrame, grid: dict[str, Sequence], k: int = 13) -> DataFrame:
-    """Backtest of every grid point: product_id, grid_idx, params, week_end, actual, predicted.
+    """Backtest of every grid point: product_id, all_rows, grid_idx, params, week_end, actual,
+    predicted.
 
-    Points whose window is as long as the training series or longer are skipped.
+    Points whose window is as long as the training series or longer are skipped; a product
+    without any point keeps rows with nothing predicted.
     """
     points = [
         F.struct(
@@ -141,59 +164,40 @@ def smoothing_grid_pairs(series: DataFrame, grid: dict[str, Sequence], k: int =
         )
         for i, (n, a, s) in enumerate(cartesian(grid["n_recent"], grid["alpha"], grid["spike"]))
     ]
-    split = backtest_split(series, k).where(F.col("rows") > F.col("test_rows"))
-    train = split.where(~F.col("is_test")).select("product_id", "week_end", "demand")
-    model = smoothing_model(train, grid["spike"], grid["n_recent"])
-    mine = F.filter(F.array(*points), lambda p: p["spike"] == F.col("spike"))
-    grown = model.withColumn("p", F.explode(mine))
-    test = split.where(F.col("is_test")).select(
-        "product_id",
-        "week_end",
-        F.col("demand").alias("actual"),
-        F.row_number().over(in_time()).alias("step"),
-        F.col("rows").alias("all_rows"),
+    model = smoothing_model(training_rows(series, k), grid["spike"], grid["n_recent"], CARRIED)
+    mine = F.filter(
+        F.array(*points), lambda p: (p["spike"] == F.col("spike")) & (p["n_recent"] < F.col("all_rows") - k)
     )
+    tried = held_out_weeks(model.withColumn("p", F.explode_outer(mine)))
     value = smoothing_value(F.col("week_end"), F.col("step"), F.col("p.n_recent"), F.col("p.alpha"))
-    return (
-        test.join(grown, "product_id")
-        .where(F.col("p.n_recent") < F.col("all_rows") - k)
-        .select(
-            "product_id",
-            F.col("p.grid_idx").alias("grid_idx"),
-            F.struct("p.n_recent", "p.alpha", "p.spike").alias("params"),
-            "week_end",
-            "actual",
-            value.alias("predicted"),
-        )
+    return tried.select(
+        "product_id",
+        "all_rows",
+        F.col("p.grid_idx").alias("grid_idx"),
+        F.struct("p.n_recent", "p.alpha", "p.spike").alias("params"),
+        "week_end",
+        "actual",
+        value.alias("predicted"),
     )
 
 
 def smoothing_backtest(series: DataFrame, k: int = 13, n_recent: int = 26, alpha: float = 0.6, spike: float = 2.5) -> DataFrame:
     """Accuracy of one parameter set on the last `k` weeks; unlike the search it skips no window length."""
-    split = backtest_split(series, k).where(F.col("rows") > F.col("test_rows"))
-    model = smoothing_model(
-        split.where(~F.col("is_test")).select("product_id", "week_end", "demand"), [spike], [n_recent]
-    )
-    test = split.where(F.col("is_test")).select(
-        "product_id", "week_end", F.col("demand").alias("actual"), F.row_number().over(in_time()).alias("step")
-    )
+    model = smoothing_model(training_rows(series, k), [spike], [n_recent], CARRIED)
     value = smoothing_value(F.col("week_end"), F.col("step"), F.lit(n_recent), F.lit(alpha))
-    pairs = test.join(model, "product_id", "left").select(
-        "product_id", "week_end", "actual", F.coalesce(value, F.lit(0.0)).alias("predicted")
-    )
-    return backtest_metrics(series, pairs, k)
+    pairs = held_out_weeks(model).select("product_id", "too_short", "week_end", "actual", value.alias("predicted"))
+    return backtest_metrics(pairs)
 
 
 def grid_search(series: DataFrame, grid: dict[str, Sequence] = GRID, k: int = 13) -> DataFrame:
     """Best parameters per product by backtest MAPE; defaults for a series under 65 rows or
     without any scored grid point (their mape is null)."""
     pairs = smoothing_grid_pairs(series, grid, k)
-    scored = forecast_accuracy(pairs, "product_id", "grid_idx", "params")
-    best = best_params(scored)
-    counts = series.groupBy("product_id").agg(F.count(F.lit(1)).alias("_rows"))
+    scored = forecast_accuracy(pairs, "product_id", "all_rows", "grid_idx", "params")
+    best = best_params(scored, "all_rows")
     defaults = F.struct(*[F.lit(value).alias(name) for name, value in DEFAULTS.items()])
-    tuned = F.col("_rows") >= MIN_ROWS_FOR_SEARCH
-    return counts.join(best, "product_id", "left").select(
+    tuned = F.col("all_rows") >= MIN_ROWS_FOR_SEARCH
+    return best.select(
         "product_id",
         F.coalesce(F.when(tuned, F.col("params")), defaults).alias("params"),
         F.when(tuned, F.col("mape")).alias("mape"),
