@@ -115,6 +115,13 @@ def seasonal_ctes(src: str, flag: str = FLAG5) -> str:
   SELECT product_id, week_end, quarter(week_end) AS q, (week(week_end) - 1) % 13 + 1 AS w, n,
          row_number() OVER (PARTITION BY product_id ORDER BY week_end DESC) AS k,
          CASE WHEN {flag} THEN {rolled('2.0')} WHEN cv > 0.5 THEN {rolled()} ELSE {capped()} END AS v FROM ro),
+ul AS (SELECT product_id, demand IS NOT NULL AND """
+        + " AND ".join(
+            f"(count(*) OVER p <= {k} OR lag(demand, {k}) OVER (PARTITION BY product_id ORDER BY week_end) IS NOT NULL)"
+            for k in (1, 2, 4, 13, 52)
+        )
+        + f""" AS ok FROM {src} WINDOW p AS (PARTITION BY product_id)),
+us AS (SELECT product_id, bool_or(ok) AS usable FROM ul GROUP BY 1),
 cel AS (SELECT product_id, q, w, avg(v) AS m FROM ad GROUP BY 1, 2, 3),
 qm AS (SELECT product_id, q, avg(v) AS m FROM ad GROUP BY 1, 2),
 wm AS (SELECT product_id, w, avg(v) AS m FROM ad GROUP BY 1, 2),
@@ -123,17 +130,18 @@ yr AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY yq DESC) AS
 wt AS (SELECT product_id, CASE WHEN count(*) = count(m) THEN sum(exp(-2.0 * (age - 1) / greatest(used - 1, 1)) * m) / sum(exp(-2.0 * (age - 1) / greatest(used - 1, 1))) END AS lvl FROM yr WHERE age <= used GROUP BY 1),
 tot AS (SELECT product_id, avg(v) AS overall,
           CASE WHEN NOT avg(v) > 0 THEN 1 WHEN {flag} THEN any_value(lvl) / avg(v) WHEN max(n) >= 26 THEN avg(v) FILTER (k <= 26) / avg(v) ELSE 1 END AS trend
-        FROM ad JOIN wt USING (product_id) GROUP BY product_id)"""
+        FROM ad JOIN wt USING (product_id) GROUP BY product_id),
+tou AS (SELECT tot.*, usable FROM tot JOIN us USING (product_id))"""
     )
 
 
 def seasonal_predict(targets: str) -> str:
     """CTE `pr` with column `fc` for the rows (product_id, week_end, ...) of `targets`."""
     return f""", pr AS (
-  SELECT t.*, greatest(coalesce(trend * CASE WHEN cel.product_id IS NOT NULL THEN cel.m
+  SELECT t.*, CASE WHEN usable THEN greatest(coalesce(trend * CASE WHEN cel.product_id IS NOT NULL THEN cel.m
       ELSE overall * CASE WHEN qm.product_id IS NULL OR NOT overall > 0 THEN 1 ELSE qm.m / overall END
-                   * CASE WHEN wm.product_id IS NULL OR NOT overall > 0 THEN 1 ELSE wm.m / overall END END, 0), 0) AS fc
-  FROM {targets} t JOIN tot USING (product_id)
+                   * CASE WHEN wm.product_id IS NULL OR NOT overall > 0 THEN 1 ELSE wm.m / overall END END, 0), 0) ELSE 0 END AS fc
+  FROM {targets} t JOIN tou USING (product_id)
   LEFT JOIN cel ON cel.product_id = t.product_id AND cel.q = quarter(t.week_end) AND cel.w = (week(t.week_end) - 1) % 13 + 1
   LEFT JOIN qm ON qm.product_id = t.product_id AND qm.q = quarter(t.week_end)
   LEFT JOIN wm ON wm.product_id = t.product_id AND wm.w = (week(t.week_end) - 1) % 13 + 1)"""

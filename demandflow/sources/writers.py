@@ -38,7 +38,7 @@ def write_weekly(df: DataFrame, path: str, file_format: str = "parquet") -> None
 def upsert_plan(target: DataFrame, new: DataFrame, keys: Sequence[str] = PLAN_KEYS) -> DataFrame:
     """Replace all rows of every key present in `new`, then append `new`."""
     replaced = new.select(*keys).distinct()
-    return target.join(replaced, list(keys), "left_anti").unionByName(new)
+    return target.join(replaced, list(keys), "left_anti").select(*target.columns).unionByName(new)
 
 
 def write_plan(spark: SparkSession, new: DataFrame, path: str) -> None:
