@@ -106,6 +106,15 @@ def roll_plan(spark, d):
     return publish(rolled_.select("product_id", "quarter", "feasible", "opening", "supply", "balance", "excess"), 1)
 
 
+def production_plan(spark, d):
+    """Lines of three brands each; the second and third may use what the one before leaves."""
+    brands = V.table(spark, d, "part").select(F.col("p_brand").alias("product_id")).distinct()
+    number = V.brand_number() - 1
+    order = brands.select("product_id", F.floor(number / 3).cast("int").alias("line"), (number % 3 + 1).alias("priority"))
+    plan = capacity.production_plan(V.planning(spark, d), order, V.LIMITS)
+    return publish(plan.select("product_id", "line", "quarter", "feasible", "rescued", "opening", "supply", "balance", "excess"), 1)
+
+
 def seasonal_ctes(src: str, flag: str = FLAG5) -> str:
     """Seasonal model of the series in `src`: ad, cel, qm, wm, tot."""
     return (
@@ -296,4 +305,5 @@ SELECT product_id, string_agg(CAST(CAST(round(fc * 100) AS BIGINT) AS VARCHAR),
 UNION ALL SELECT product_id, quarter, {big('week_seq')}, {r('wafers')}, feasible, feasible FROM c2""",
     ),
     "roll_plan": (roll_plan, None),
+    "production_plan": (production_plan, None),
 }

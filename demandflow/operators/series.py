@@ -44,14 +44,13 @@ def last_by(value: str | Column, *order: str | Column) -> Column:
 def split_quarter_to_weeks(facts: DataFrame, ratio: DataFrame) -> DataFrame:
     """Thirteen rows per quarter fact: value times the week's ratio.
 
-    `ratio` (week, ratio) has one row per week of a quarter and is joined on the week, so the
-    hint covers 13 rows at most once it passed `validate_ratio`; a row limit would hide a bad
-    table. Facts whose label did not parse (-1) are left out.
+    `ratio` (week, ratio) is joined on the week; Spark broadcasts it by its measured size. Facts
+    whose label did not parse (-1) are left out.
     """
     weeks = facts.where((F.col("year") != -1) & (F.col("quarter_num") != -1)).withColumn(
         "week", F.explode(F.sequence(F.lit(1), F.lit(WEEKS_PER_QUARTER)))
     )
-    return weeks.join(ratio.hint("broadcast"), "week").select(
+    return weeks.join(ratio, "week").select(
         "product_id",
         "quarter",
         "year",

@@ -266,52 +266,113 @@ def rescue_plan(inputs: DataFrame, priority: DataFrame, limits: PlanLimits = Pla
 
 
 _ROLLED = (
-    "struct<quarter:string,quarter_index:int,feasible:boolean,opening:double,supply:double,"
-    "balance:double,excess:double,seqs:array<int>,labels:array<string>,wafers:array<double>>"
+    "struct<quarter:string,quarter_index:int,feasible:boolean,rescued:boolean,opening:double,supply:double,"
+    "balance:double,excess:double,seqs:array<int>,labels:array<string>,wafers:array<double>,spare:array<double>>"
 )
 
 
-def roll_plan(inputs: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame:
-    """Plan a product's quarters in order; the closing balance of one opens the next.
+def _roll(packed: DataFrame, limits: PlanLimits, *keys: str, rescue: bool) -> DataFrame:
+    """Fold the packed quarters of each product in order, carrying the balance along.
 
-    `opening` counts for a product's first quarter only. Products run in parallel; within one,
-    the fold walks its quarters, of which the calendar bounds the number.
+    With `rescue`, `spare` (array or null) is what a donor leaves per week; it is added to the
+    capacity of a quarter that has no plan otherwise. The output's own `spare` is what the first plan of the
+    quarter leaves, all 0 without one.
     """
-    packed = pack_quarters(inputs).withColumn("u", largest_lots(F.col("cap"), limits))
-    chain = packed.groupBy("product_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("quarter_index", "quarter", "safety_stock", "demand", "opening", "seqs", "labels", "b", "cap", "u")
-            )
-        ).alias("quarters")
-    )
+    ready = packed.withColumn("u", largest_lots(F.col("cap"), limits))
+    fields = ["quarter_index", "quarter", "safety_stock", "demand", "opening", "seqs", "labels", "b", "cap", "u"]
+    if rescue:
+        raised = F.transform("cap", lambda c, i: c + F.coalesce(F.get(F.col("spare"), i), F.lit(0.0)))
+        ready = ready.withColumn("cap2", F.when(F.col("spare").isNotNull(), raised)).withColumn(
+            "u2", largest_lots(F.col("cap2"), limits)
+        )
+        fields += ["cap2", "u2"]
+    chain = ready.groupBy("product_id", *keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("quarters"))
+
+    def in_wafers(lots: Column) -> Column:
+        return F.transform(lots, lambda y: (y * limits.lot).cast("double"))
 
     def step(acc: Column, q: Column) -> Column:
         need = q["safety_stock"] + q["demand"] - acc["balance"]
-        plan = cut_to_band(q["b"], q["u"], need + limits.lo, need + limits.hi, limits)
+        first = cut_to_band(q["b"], q["u"], need + limits.lo, need + limits.hi, limits)
+
+        def retry(p: Column) -> Column:
+            again = F.when(
+                ~p["feasible"] & q["cap2"].isNotNull(),
+                cut_to_band(q["b"], q["u2"], need + limits.lo, need + limits.hi, limits),
+            )
+            return _let(
+                again,
+                lambda r: settle(
+                    p["feasible"],
+                    F.coalesce(r["feasible"], F.lit(False)),
+                    in_wafers(p["lots"]),
+                    F.coalesce(in_wafers(r["lots"]), q["cap2"], q["cap"]),
+                ),
+            )
 
-        def close(p: Column) -> Column:
-            lots = F.transform(p["lots"], lambda y: (y * limits.lot).cast("double"))
-            wafers = F.when(p["feasible"], lots).otherwise(q["cap"])
-            return _let(F.struct(p["feasible"].alias("ok"), wafers.alias("w"), _total(q["b"], wafers, 1).alias("s")), book)
+        def settle(own: Column, rescued: Column, planned: Column, otherwise: Column) -> Column:
+            wafers = F.when(own, planned).otherwise(otherwise)
+            left = F.zip_with(q["cap"], planned, lambda c, w: c - w)
+            spare = F.when(own, left).otherwise(F.transform(q["cap"], lambda _: F.lit(0.0)))
+            return _let(
+                F.struct(
+                    (own | rescued).alias("ok"), rescued.alias("rescued"), wafers.alias("w"),
+                    _total(q["b"], wafers, 1).alias("s"), spare.alias("spare"),
+                ),
+                book,
+            )
 
         def book(r: Column) -> Column:
             balance = acc["balance"] + r["s"] - q["demand"]
             row = F.struct(
-                q["quarter"], q["quarter_index"].cast("int"), r["ok"], acc["balance"], r["s"], balance,
-                balance - q["safety_stock"], q["seqs"], q["labels"], r["w"],
+                q["quarter"], q["quarter_index"].cast("int"), r["ok"], r["rescued"], acc["balance"], r["s"], balance,
+                balance - q["safety_stock"], q["seqs"], q["labels"], r["w"], r["spare"],
             ).cast(_ROLLED)
             return F.struct(balance.alias("balance"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-        return _let(plan, close)
+        if not rescue:
+            return _let(first, lambda p: settle(p["feasible"], F.lit(False), in_wafers(p["lots"]), q["cap"]))
+        return _let(first, retry)
 
     start = F.struct(
         F.get("quarters", F.lit(0))["opening"].alias("balance"), F.array().cast(f"array<{_ROLLED}>").alias("rows")
     )
     rolled = chain.select(
-        "product_id", F.explode_outer(F.aggregate("quarters", start, step, lambda acc: acc["rows"])).alias("r")
+        "product_id", *keys, F.explode_outer(F.aggregate("quarters", start, step, lambda acc: acc["rows"])).alias("r")
     )
-    return rolled.select("product_id", "r.*")
+    return rolled.select("product_id", *keys, "r.*")
+
+
+def roll_plan(inputs: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame:
+    """Plan a product's quarters in order; the closing balance of one opens the next.
+
+    `opening` counts for a product's first quarter only. Products run in parallel; within one,
+    the fold walks its quarters, of which the calendar bounds the number.
+    """
+    packed = pack_quarters(inputs)
+    return _roll(packed, limits, rescue=False).drop("spare", "rescued")
+
+
+def production_plan(inputs: DataFrame, priority: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame:
+    """Rolling plan of whole production lines with rescue.
+
+    `priority`: product_id, line, priority (1, 2, ... within a line). A quarter without a plan
+    is planned again with what the line's next higher product left unused that quarter. All
+    lines advance together, one pass per priority; a pass is checkpointed because the next one
+    reads it and the result keeps it.
+    """
+    ranked = inputs.join(priority.select("product_id", "line", "priority"), "product_id")
+    packed = cut_lineage(pack_quarters(ranked, "line", "priority"))
+    levels = packed.agg(F.max("priority")).first()[0] or 0
+    planned = None
+    for level in range(1, levels + 1):
+        mine = packed.where(F.col("priority") == level)
+        if planned is not None:
+            donor = planned.where(F.col("priority") == level - 1).select("line", "quarter", "spare")
+            mine = mine.join(donor, ["line", "quarter"], "left")
+        rolled = cut_lineage(_roll(mine, limits, "line", "priority", rescue=planned is not None))
+        planned = rolled if planned is None else planned.unionByName(rolled)
+    return _roll(packed, limits, "line", "priority", rescue=False) if planned is None else planned
 
 
 def rolled_weeks(rolled: DataFrame) -> DataFrame:

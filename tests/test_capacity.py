@@ -132,6 +132,42 @@ def test_rolling_plan_chains_balances(spark):
     assert seen == {True, False} and C.rolled_weeks(C.roll_plan(source, limits)).count() == 72
 
 
+def test_production_plan_rolls_and_rescues(spark):
+    rng = random.Random(5)
+    limits = C.PlanLimits(min_week=10, max_decrease=15, lo=0.0, hi=60.0)
+    rows, given = [], {}
+    for p, scale in (("A", 130), ("B", 200), ("C", 230)):
+        for q in range(4):
+            cap = [rng.randint(25, 45) for _ in range(4)]
+            mine = weeks(p, cap, [1.5, 1.0, 2.0, 1.0], sst=20, demand=rng.randint(scale - 30, scale + 30), opening=15, quarter=f"Q{q + 1} 95", index=7980 + q)
+            rows += mine
+            given[(p, q)] = mine
+    order = spark.createDataFrame([("A", 0, 1), ("B", 0, 2), ("C", 0, 3)], "product_id string, line int, priority int")
+    got = {(r["product_id"], r["quarter_index"] - 7980): r for r in C.production_plan(spark.createDataFrame(rows, SCHEMA), order, limits).collect()}
+
+    def solve(mine):
+        plan = plans(C.capacity_plan(spark.createDataFrame(mine, SCHEMA), limits))
+        return next(iter(plan.values()))
+
+    spare, rescued = {}, []
+    for p, donor in (("A", None), ("B", "A"), ("C", "B")):
+        opening = 15.0
+        for q in range(4):
+            mine = [(*w[:9], opening) for w in given[(p, q)]]
+            plan = solve(mine)
+            spare[(p, q)] = [w["capacity"] - w["wafers"] for w in plan]
+            row = got[(p, q)]
+            assert row["spare"] == spare[(p, q)]
+            if not plan[0]["feasible"] and donor:
+                plan = solve([(*w[:6], w[6] + extra, *w[7:]) for w, extra in zip(mine, spare[(donor, q)])])
+                rescued.append(row["rescued"])
+                assert row["rescued"] == plan[0]["feasible"]
+            assert row["wafers"] == [w["wafers"] for w in plan] and row["feasible"] == plan[0]["feasible"]
+            opening += sum(w["wafers"] * w["bytes_per_wafer"] for w in plan) - mine[0][8]
+            assert row["balance"] == pytest.approx(opening)
+    assert True in rescued and False in rescued
+
+
 def test_plan_inputs_drop_incomplete_keys(spark):
     facts = spark.createDataFrame(
         [

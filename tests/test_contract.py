@@ -17,7 +17,7 @@ SAMPLE = (
 def test_every_sql_has_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     without = set(entry_point.queries()) - set(entry_point.oracle_sql())
-    assert without == {"gbt_forecast", "boundary_forecast", "roll_plan"}
+    assert without == {"gbt_forecast", "boundary_forecast", "roll_plan", "production_plan"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables not present")
