@@ -75,7 +75,7 @@ def test_plan_against_every_possible_plan(spark):
     assert min(outcomes.values()) >= 15, outcomes
 
 
-def test_reference_sized_limits_and_fourteen_weeks(spark):
+def test_default_limits_and_fourteen_weeks(spark):
     cap = [5150, 5255, 5180, 4745, 5000, 5100, 5200, 4800, 4900, 5000, 5100, 5200, 5000, 3000]
     rows = weeks("A", cap, [47000.0] * 14, sst=6.8e8, demand=2.2e9, opening=1.0e8)
     plan = plans(C.capacity_plan(spark.createDataFrame(rows, SCHEMA)))[("A", "Q1 95")]
