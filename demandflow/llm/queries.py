@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from demandflow.llm import mixing, urls
+from demandflow.llm import mixing, secrets, urls
 
-ALL = {**mixing.QUERIES, **urls.QUERIES}
+ALL = {**mixing.QUERIES, **urls.QUERIES, **secrets.QUERIES}
