@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from demandflow.llm import decontaminate, mixing, secrets, urls
+from demandflow.llm import decontaminate, mixing, near_dedup, secrets, urls
 
-ALL = {**mixing.QUERIES, **urls.QUERIES, **secrets.QUERIES, **decontaminate.QUERIES}
+ALL = {**mixing.QUERIES, **urls.QUERIES, **secrets.QUERIES, **decontaminate.QUERIES, **near_dedup.QUERIES}
