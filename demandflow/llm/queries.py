@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from demandflow.llm import decontaminate, mixing, near_dedup, secrets, urls
+from demandflow.llm import decontaminate, mixing, near_dedup, packing, secrets, token_counts, urls
 
-ALL = {**mixing.QUERIES, **urls.QUERIES, **secrets.QUERIES, **decontaminate.QUERIES, **near_dedup.QUERIES}
+ALL = {**mixing.QUERIES, **urls.QUERIES, **secrets.QUERIES, **decontaminate.QUERIES, **near_dedup.QUERIES, **packing.QUERIES, **token_counts.QUERIES}
