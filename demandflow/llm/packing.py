@@ -23,7 +23,7 @@ from demandflow.llm.common import binary_texts, slices
 
 #: The pattern of the rank files, and Unicode's white space as it means it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPACE = "\t\n\v\f\r \x85\xa0  -     　"
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces of text that the pattern never joins; each is encoded alone, and once while it is remembered.
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
