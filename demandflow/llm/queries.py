@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from demandflow.llm import decontaminate, mixing, near_dedup, neighbours, packing, secrets, token_counts, urls
+from demandflow.llm import class_model, decontaminate, language_id, mixing, near_dedup, neighbours, packing, secrets, token_counts, urls
 
-ALL = {**mixing.QUERIES, **urls.QUERIES, **secrets.QUERIES, **decontaminate.QUERIES, **near_dedup.QUERIES, **neighbours.QUERIES, **packing.QUERIES, **token_counts.QUERIES}
+ALL = {**class_model.QUERIES, **language_id.QUERIES, **mixing.QUERIES, **urls.QUERIES, **secrets.QUERIES, **decontaminate.QUERIES, **near_dedup.QUERIES, **neighbours.QUERIES, **packing.QUERIES, **token_counts.QUERIES}
