@@ -8,12 +8,11 @@ from contract import views as V
 from contract.sql_parts import PI, QU, SR, SRN, big, day, plan_ctes, r
 from contract.stats_queries import FLAG5, KEY, LEVEL, ROLLED, capped, rolled
 from contract.views import publish
-from demandflow.operators import series as S
+from demandflow.operators import inventory, series as S, stats
 from demandflow.plans import boosted, boundary, capacity, seasonal, smoothing
-from demandflow.sources import readers
+from demandflow.sources import readers, writers
 
 FLAGGED = ["Brand#5", "Brand#10", "Brand#15", "Brand#20", "Brand#25"]
-QUERY_TREES = boosted.TreeParams(trees=20, depth=4, learning_rate=0.1)
 
 
 def quarterly_to_forecast(spark, d):
@@ -32,8 +31,26 @@ def smoothing_forecast(spark, d):
     return publish(smoothing.smoothing_forecast(V.series(spark, d), 60))
 
 
+def bi_export(spark, d):
+    line = V.series(spark, d)
+    history = line.select("product_id", F.date_format("week_end", "yyyy-MM-dd").alias("period"), "demand")
+    return publish(writers.export_bi(history, seasonal.seasonal_forecast(line, 13, FLAGGED)))
+
+
+def quarter_buckets(spark, d):
+    return publish(S.weeks_to_quarter_buckets(seasonal.seasonal_forecast(V.series(spark, d), 26, FLAGGED)))
+
+
+def net_balance(spark, d):
+    coming = seasonal.seasonal_forecast(V.series(spark, d), 13, FLAGGED)
+    stock = V.quarters(spark, d).groupBy("product_id").agg(
+        F.min("units").alias("initial"), F.max("units").alias("receipts"), F.avg("wos").alias("safety_stock")
+    )
+    return publish(inventory.net_balance(stats.horizon_demand(coming), stock))
+
+
 def gbt_forecast(spark, d):
-    return publish(boosted.gbt_blend_forecast(V.series(spark, d), 13, FLAGGED, params=QUERY_TREES))
+    return publish(boosted.gbt_blend_forecast(V.series(spark, d), 13, FLAGGED))
 
 
 def capacity_series(spark, d):
@@ -41,7 +58,7 @@ def capacity_series(spark, d):
 
 
 def boundary_forecast(spark, d):
-    return publish(boosted.boundary_forecast(capacity_series(spark, d), 13, params=QUERY_TREES))
+    return publish(boosted.boundary_forecast(capacity_series(spark, d), 13))
 
 
 def boundary_baseline(spark, d):
@@ -252,6 +269,23 @@ QUERIES = {
         smoothing_forecast,
         f"WITH {SR}{future(60)}{smoothing_ctes('sr', 'fu', ONE_POINT)} SELECT {KEY}, {big('step')} AS step, {r('fc')} AS forecast FROM pr",
     ),
+    "bi_export": (
+        bi_export,
+        f"""WITH {SR}{seasonal_ctes('sr')}{future(13)}{seasonal_predict('fu')}
+SELECT product_id, {day()} AS period, 'Histórico' AS kind, {r('demand')} AS demand FROM sr
+UNION ALL SELECT product_id, 'F' || step, 'Pronóstico', {r('fc')} FROM pr""",
+    ),
+    "quarter_buckets": (
+        quarter_buckets,
+        f"""WITH {SR}{seasonal_ctes('sr')}{future(26)}{seasonal_predict('fu')}
+SELECT product_id, {big('(step - 1) // 13 + 1')} AS bucket, {r('sum(fc)')} AS demand FROM pr GROUP BY 1, 2""",
+    ),
+    "net_balance": (
+        net_balance,
+        f"""WITH {QU}{', grid' + SR.split(', grid')[1]}{seasonal_ctes('sr')}{future(13)}{seasonal_predict('fu')},
+f AS (SELECT product_id, sum(fc) AS dem FROM pr GROUP BY 1)
+SELECT product_id, {r('min(units) + max(units) - max(dem) - avg(wos)')} AS net FROM qs JOIN f USING (product_id) GROUP BY 1""",
+    ),
     "gbt_forecast": (gbt_forecast, None),
     "boundary_forecast": (boundary_forecast, None),
     "boundary_baseline": (

@@ -82,13 +82,6 @@ def facts_upsert(spark, d):
     return publish(writers.upsert_facts(old, fresh), 1)
 
 
-def bi_export(spark, d):
-    line = V.series(spark, d)
-    history = line.select("product_id", F.date_format("week_end", "yyyy-MM-dd").alias("period"), "demand")
-    naive = writers.forecast_periods(S.tail_k(line, 13)).select("product_id", "step", F.col("demand").alias("forecast"))
-    return publish(writers.export_bi(history, naive))
-
-
 def facts_pivot(spark, d):
     return publish(writers.facts_to_wide(V.facts(spark, d), V.quarter_labels(spark, d)), 1)
 
@@ -112,11 +105,11 @@ def select_products(spark, d):
 
 
 def boundary_rows(spark, d):
-    units = V.quarter_units(spark, d).where(F.col("quarter") == "Q3 95")
+    units = V.quarter_units(spark, d)
     key = F.when(F.col("units") % 3 != 0, F.col("units") * 5)
-    rows = units.select("product_id", key.alias("key"))
-    total = units.agg(F.lit("Total").alias("product_id"), F.sum(F.col("units") * 5).alias("key"))
-    heading = units.groupBy(F.lit("Product ID").alias("product_id")).agg(F.max("units").alias("key"))
+    rows = units.select("product_id", "quarter", key.alias("key"))
+    total = units.groupBy("quarter").agg(F.lit("Total").alias("product_id"), F.sum(F.col("units") * 5).alias("key"))
+    heading = units.groupBy("quarter").agg(F.lit("Product ID").alias("product_id"), F.max("units").alias("key"))
     return publish(filters.boundary_rows(rows.unionByName(total).unionByName(heading), "key"))
 
 
@@ -235,11 +228,6 @@ def carry_forward(spark, d):
     return publish(S.carry_forward(gaps, 13), 6)
 
 
-def quarter_buckets(spark, d):
-    steps = writers.forecast_periods(V.series(spark, d)).select("product_id", "step", F.col("demand").alias("forecast"))
-    return publish(S.weeks_to_quarter_buckets(steps))
-
-
 def tail_k(spark, d):
     return publish(S.tail_k(V.series(spark, d), 26))
 
@@ -303,12 +291,6 @@ FROM wq WHERE qi % 4 <> 3 OR week_seq <= 13""",
   FROM facts WHERE attribute = 'EffectiveDemand')
 SELECT product_id, attribute, quarter, {r('coalesce(n.value, o.value)', 1)} AS value
 FROM facts o FULL OUTER JOIN fresh n USING (product_id, attribute, quarter)""",
-    ),
-    "bi_export": (
-        bi_export,
-        f"""WITH {SR}, rk AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY week_end DESC) AS k FROM sr)
-SELECT product_id, {day()} AS period, 'Histórico' AS kind, {r('demand')} AS demand FROM sr
-UNION ALL SELECT product_id, 'F' || (14 - k), 'Pronóstico', {r('demand')} FROM rk WHERE k <= 13""",
     ),
     "facts_pivot": (
         facts_pivot,
@@ -330,7 +312,7 @@ UNION ALL SELECT product_id, 'F' || (14 - k), 'Pronóstico', {r('demand')} FROM
     ),
     "boundary_rows": (
         boundary_rows,
-        f"WITH {QU} SELECT product_id, {r('units * 5')} AS key FROM qs WHERE quarter = 'Q3 95' AND CAST(units AS BIGINT) % 3 <> 0",
+        f"WITH {QU} SELECT product_id, quarter, {r('units * 5')} AS key FROM qs WHERE CAST(units AS BIGINT) % 3 <> 0",
     ),
     "impute_mean": (
         impute_mean,
@@ -421,11 +403,6 @@ SELECT strftime(week_end, '%d-%m-%Y') || ' 00:00:00' AS date_text, {big('step')}
         f"""WITH {BW}, y AS (SELECT product_id, week_end, 1 - discount / lines AS v FROM bw),
 l AS (SELECT product_id, max(week_end) AS last, arg_max(v, week_end) FILTER (v < 0.95) AS v FROM y GROUP BY 1), s AS (SELECT *, unnest(generate_series(1, 13)) AS step FROM l)
 SELECT product_id, {day('last + CAST(7 * step AS INTEGER)')} AS week_end, {big('step')} AS step, {r('v', 6)} AS yield_value FROM s""",
-    ),
-    "quarter_buckets": (
-        quarter_buckets,
-        f"""WITH {SR}, p AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY week_end) AS step FROM sr)
-SELECT product_id, {big('(step - 1) // 13 + 1')} AS bucket, {r('sum(demand)')} AS demand FROM p GROUP BY 1, 2""",
     ),
     "tail_k": (
         tail_k,

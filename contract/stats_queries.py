@@ -215,14 +215,6 @@ def shrink(spark, d):
     return publish(line.select("product_id", "week_end", out.alias("value")))
 
 
-def net_balance(spark, d):
-    steps = writers.forecast_periods(S.tail_k(V.series(spark, d), 13)).withColumnRenamed("demand", "forecast")
-    stock = V.quarters(spark, d).groupBy("product_id").agg(
-        F.min("units").alias("initial"), F.max("units").alias("receipts"), F.avg("wos").alias("safety_stock")
-    )
-    return publish(inventory.net_balance(stats.horizon_demand(steps), stock))
-
-
 WEEK_MED = "quantile_cont(demand, 0.5) OVER (PARTITION BY product_id ORDER BY week_end ROWS BETWEEN {a} AND {b})"
 
 
@@ -233,11 +225,11 @@ def _med(a: str, b: str = "CURRENT ROW") -> str:
 EWM = """, em AS (
   SELECT a.product_id, a.week_end, sum(pow(7.0/9.0, a.pos - b.pos) * b.demand) / sum(pow(7.0/9.0, a.pos - b.pos)) AS mean,
          sum(pow(7.0/9.0, a.pos - b.pos)) AS sw, sum(pow(7.0/9.0, 2 * (a.pos - b.pos))) AS sw2, count(*) AS m, a.pos
-  FROM srn a JOIN srn b ON a.product_id = b.product_id AND b.pos BETWEEN a.pos - 127 AND a.pos AND b.demand IS NOT NULL GROUP BY ALL),
+  FROM srn a JOIN srn b ON a.product_id = b.product_id AND b.pos <= a.pos AND b.demand IS NOT NULL GROUP BY ALL),
 ew AS (
   SELECT em.product_id, em.week_end, any_value(mean) AS ewm_mean, any_value(m) AS m,
          CASE WHEN any_value(m) >= 2 THEN sqrt(sum(pow(7.0/9.0, em.pos - b.pos) * (b.demand - mean) * (b.demand - mean)) * any_value(sw / (sw * sw - sw2))) END AS ewm_std
-  FROM em JOIN srn b ON em.product_id = b.product_id AND b.pos BETWEEN em.pos - 127 AND em.pos AND b.demand IS NOT NULL GROUP BY 1, 2)"""
+  FROM em JOIN srn b ON em.product_id = b.product_id AND b.pos <= em.pos AND b.demand IS NOT NULL GROUP BY 1, 2)"""
 
 VOLATILITY = "least(greatest(coalesce(ewm_std / nullif(ewm_mean, 0), 0), 0), 2)"
 
@@ -480,9 +472,4 @@ SELECT product_id, {big('year')} AS year, {big('i')} AS step,
         f"""WITH {SR}, o AS (SELECT *, avg(demand) OVER p AS mean, stddev_pop(demand) OVER p AS std, count(demand) OVER p AS n FROM sr WINDOW p AS (PARTITION BY product_id))
 SELECT {KEY}, {r('CASE WHEN n >= 2 AND std >= 1e-6 THEN mean + (demand - mean) * (1 - 0.3 * tanh(abs((demand - mean) / std) / 2)) ELSE demand END')} AS value FROM o""",
     ),
-    "net_balance": (
-        net_balance,
-        f"""WITH {QU}{', grid' + SR.split(', grid')[1]}, f AS (SELECT product_id, sum(demand) AS dem FROM (SELECT * FROM sr QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY sr.week_end DESC) <= 13) GROUP BY 1)
-SELECT product_id, {r('min(units) + max(units) - max(dem) - avg(wos)')} AS net FROM qs JOIN f USING (product_id) GROUP BY 1""",
-    ),
 }

@@ -30,11 +30,11 @@ def fact_lookup(facts: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def facts_by_quarter(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per product and quarter with the named attributes side by side."""
-    pick = [
-        F.first(F.when(F.col("attribute") == ATTRIBUTES[c], F.col("value")), ignorenulls=True).alias(c)
-        for c in columns
-    ]
+    """One row per product and quarter with the named attributes side by side.
+
+    Of repeated facts the largest value counts.
+    """
+    pick = [F.max(F.when(F.col("attribute") == ATTRIBUTES[c], F.col("value"))).alias(c) for c in columns]
     wanted = facts.where(F.col("attribute").isin([ATTRIBUTES[c] for c in columns]))
     index = quarter_index(F.col("year"), F.col("quarter_num")).alias("quarter_index")
     return wanted.groupBy("product_id", "quarter", index).agg(*pick)
@@ -54,11 +54,38 @@ def with_week_seq(weekly: DataFrame, date: str) -> DataFrame:
 
 
 def yield_x_capacity(yields: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Pair week i of the yield with week i of the capacity of the same product and quarter."""
+    """Pair week i of the yield with week i of the capacity of the same product and quarter.
+
+    A week that only one of them has gives no row here; `complete_quarters` tells such quarters.
+    """
     keys = ["product_id", "quarter", "week_seq"]
     return yields.select(*keys, "yield_value").join(capacity.select(*keys, "week_label", "capacity"), keys)
 
 
+def complete_quarters(yields: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Pairs of `yield_x_capacity`, of quarters only in which every week of either has both values."""
+    keys = ["product_id", "quarter", "week_seq"]
+    every = yields.select(*keys, "yield_value").join(capacity.select(*keys, "week_label", "capacity"), keys, "full_outer")
+    lacking = F.col("yield_value").isNull() | F.col("capacity").isNull()
+    of_quarter = W.partitionBy("product_id", "quarter")
+    return every.withColumn("_lacks", F.max(lacking).over(of_quarter)).where(~F.col("_lacks")).drop("_lacks")
+
+
+def unique_priorities(priority: DataFrame) -> DataFrame:
+    """(product_id, line, priority), `line` null where the table has none.
+
+    A product named twice, or two products of one line and priority, is an error: leftovers would be
+    handed out twice.
+    """
+    line = F.col("line") if "line" in priority.columns else F.lit(None).cast("string").alias("line")
+    ranks = priority.select("product_id", line, "priority")
+    for keys in (["product_id"], ["line", "priority"]):
+        twice = ranks.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).count().where("count > 1").first()
+        if twice is not None:
+            raise ValueError(f"repeated {' and '.join(keys)} in the priorities: {tuple(twice)[:-1]}")
+    return ranks
+
+
 def asof_last_year(history: DataFrame, requests: DataFrame, tolerance: int = 3) -> DataFrame:
     """Value 52 weeks before each request date: exact, else the nearest within `tolerance` days.
 
@@ -82,15 +109,19 @@ def asof_last_year(history: DataFrame, requests: DataFrame, tolerance: int = 3)
 def donor_leftover(plans: DataFrame) -> DataFrame:
     """Capacity plus what the product one priority higher leaves unused that week.
 
-    `plans`: product_id, priority, quarter, week_seq, capacity, wafers. The first priority has
-    no donor and keeps its own capacity.
+    `plans`: product_id, priority, quarter, week_seq, capacity, wafers, and `line` where there are
+    several. The first priority has no donor and keeps its own capacity. Two products of one
+    priority would both donate, so that is an error.
     """
+    keys = [c for c in ("line", "priority") if c in plans.columns]
+    unique_priorities(plans.select("product_id", *keys).distinct())
     donor = plans.select(
+        *keys[:-1],
         (F.col("priority") + 1).alias("priority"),
         "quarter",
         "week_seq",
         (F.col("capacity") - F.col("wafers")).alias("leftover"),
     )
-    joined = plans.join(donor, ["priority", "quarter", "week_seq"], "left")
+    joined = plans.join(donor, [*keys, "quarter", "week_seq"], "left")
     extra = F.coalesce("leftover", F.lit(0.0))
     return joined.withColumn("leftover", extra).withColumn("raised_capacity", F.col("capacity") + extra)

@@ -17,8 +17,7 @@ from demandflow.functions.calendar import (
     week_label_successors,
     week_start,
 )
-from demandflow.operators.filters import drop_zero_demand, filter_attribute
-
+from demandflow.operators.filters import drop_zero_demand, filter_attribute, validate_ratio
 
 
 def by_product() -> WindowSpec:
@@ -62,7 +61,13 @@ def split_quarter_to_weeks(facts: DataFrame, ratio: DataFrame) -> DataFrame:
 
 
 def weekly_demand(facts: DataFrame, ratio: DataFrame) -> DataFrame:
-    """Quarter facts to weekly demand: demand attribute, non-zero quarters, 13 weeks each."""
+    """Quarter facts to weekly demand: demand attribute, non-zero quarters, 13 weeks each.
+
+    A ratio without a known value for each of the weeks 1 to 13, once, is an error.
+    """
+    weeks = ratio.where(F.col("week").between(1, WEEKS_PER_QUARTER)).agg(F.count_distinct("week")).first()[0]
+    if not validate_ratio(ratio).first()["ok"] or weeks != WEEKS_PER_QUARTER:
+        raise ValueError(f"the week ratio needs one known value for each of the weeks 1 to {WEEKS_PER_QUARTER}")
     return split_quarter_to_weeks(drop_zero_demand(filter_attribute(facts)), ratio)
 
 

@@ -22,7 +22,7 @@ BOUNDARY_LAGS = (1, 2, 4, 8, 13)
 
 EWM_SPAN = 8
 EWM_DECAY = (EWM_SPAN - 1) / (EWM_SPAN + 1)
-EWM_FRAME = 128  # the decay to this power is about 1e-14: older values no longer count
+EWM_BLOCK = 128  # rows folded together; any number gives the same values
 
 
 def row_count() -> Column:
@@ -48,61 +48,91 @@ def rolling_std(window: int, value: str = "demand") -> Column:
     return F.when(enough, F.stddev_samp(value).over(frame))
 
 
-def with_ewm(series: DataFrame, value: str = "demand", min_points_std: int = 2) -> DataFrame:
+def with_ewm(
+    series: DataFrame,
+    value: str = "demand",
+    min_points_std: int = 2,
+    block: int = EWM_BLOCK,
+    keep_state: bool = False,
+) -> DataFrame:
     """Add `ewm_mean` and bias-corrected `ewm_std` (span 8, weights by distance in rows).
 
-    Missing values carry no weight. A product's weeks are folded once in order, so the work is
-    one step a row; a windowed sum would revisit the whole history for every row.
+    Missing values carry no weight. The whole history counts. A product's weeks are cut into
+    blocks of `block` rows; each block is folded alone to the weight, mean and squares it leaves,
+    what the blocks before leave is put together, and the block's rows are then folded on from
+    there. So work is in proportion to the rows, and no array holds more than a block's rows or a
+    product's blocks. `keep_state` adds the running figures as `ewm_state`.
     """
     columns = [c for c in series.columns if c != "product_id"]
+    numbered = series.withColumn("_block", F.floor((F.row_number().over(in_time()) - 1) / block))
     rows = F.array_sort(F.collect_list(F.struct(F.col("week_end").alias("_at"), *columns)))
-    packed = series.groupBy("product_id").agg(rows.alias("_rows"))
-    path_type = "array<struct<mean:double,std:double>>"
+    packed = numbered.groupBy("product_id", "_block").agg(rows.alias("_rows"))
+    alone = F.aggregate("_rows", _no_weight(), lambda acc, row: _weighted_step(_decayed(acc), row[value]))
+    packed = packed.withColumn("_left", F.struct(alone.alias("s"), F.size("_rows").alias("rows")))
+    before = by_product().orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    packed = packed.withColumn("_before", F.collect_list("_left").over(before))
+    carried = F.aggregate("_before", _no_weight(), lambda acc, x: _joined(_decayed(acc, x["rows"]), x["s"]))
+    kind = "struct<mean:double,std:double,s:struct<w:double,w2:double,mean:double,m2:double,n:int>>"
 
     def step(acc: Column, row: Column) -> Column:
         grown = _weighted_step(_decayed(acc["s"]), row[value])
-        return F.struct(
-            grown.alias("s"),
-            F.concat(acc["path"], F.array(_ewm_result(grown, min_points_std)).cast(path_type)).alias("path"),
-        )
+        stats = _ewm_result(grown, min_points_std)
+        shown = F.struct(stats["mean"].alias("mean"), stats["std"].alias("std"), grown.alias("s")).cast(kind)
+        return F.struct(grown.alias("s"), F.concat(acc["path"], F.array(shown)).alias("path"))
 
-    start = F.struct(_no_weight().alias("s"), F.array().cast(path_type).alias("path"))
+    start = F.struct(carried.alias("s"), F.array().cast(f"array<{kind}>").alias("path"))
     path = F.aggregate("_rows", start, step, lambda acc: acc["path"])
-    merged = F.zip_with(
-        "_rows",
-        path,
-        lambda row, e: F.struct(*[row[c].alias(c) for c in columns], e["mean"].alias("ewm_mean"), e["std"].alias("ewm_std")),
-    )
-    return packed.select("product_id", F.inline_outer(merged))
 
+    def merged(row: Column, e: Column) -> Column:
+        added = [e["mean"].alias("ewm_mean"), e["std"].alias("ewm_std")]
+        if keep_state:
+            added.append(e["s"].alias("ewm_state"))
+        return F.struct(*[row[c].alias(c) for c in columns], *added)
 
-def ewm_of(newest_first: Column, min_points_std: int = 2) -> dict[str, Column]:
-    """`ewm_mean` and `ewm_std` of an array of at most EWM_FRAME values, newest first."""
-    stats = F.aggregate(
-        F.reverse(newest_first),
-        _no_weight(),
-        lambda acc, v: _weighted_step(_decayed(acc), v),
-        lambda acc: _ewm_result(acc, min_points_std),
-    )
+    return packed.select("product_id", F.inline_outer(F.zip_with("_rows", path, merged)))
+
+
+def ewm_of(state: Column, min_points_std: int = 2) -> dict[str, Column]:
+    """`ewm_mean` and `ewm_std` of an `ewm_state`."""
+    stats = _ewm_result(state, min_points_std)
     return {"ewm_mean": stats["mean"], "ewm_std": stats["std"]}
 
 
+def next_ewm_state(state: Column, v: Column) -> Column:
+    """`ewm_state` one row later, with that row's value."""
+    return _weighted_step(_decayed(state), v)
+
+
 def _no_weight() -> Column:
     names = ("w", "w2", "mean", "m2")
     return F.struct(*[F.lit(0.0).alias(c) for c in names], F.lit(0).alias("n"))
 
 
-def _decayed(s: Column) -> Column:
-    """State one row later: every weight shrinks by the decay."""
+def _decayed(s: Column, rows: int | Column = 1) -> Column:
+    """State some rows later: every weight shrinks by the decay, once a row."""
+    by = F.lit(EWM_DECAY) if isinstance(rows, int) and rows == 1 else F.pow(F.lit(EWM_DECAY), rows)
     return F.struct(
-        (s["w"] * EWM_DECAY).alias("w"),
-        (s["w2"] * EWM_DECAY * EWM_DECAY).alias("w2"),
+        (s["w"] * by).alias("w"),
+        (s["w2"] * by * by).alias("w2"),
         s["mean"].alias("mean"),
-        (s["m2"] * EWM_DECAY).alias("m2"),
+        (s["m2"] * by).alias("m2"),
         s["n"].alias("n"),
     )
 
 
+def _joined(a: Column, b: Column) -> Column:
+    """State of both parts' observations together."""
+    w, delta = a["w"] + b["w"], b["mean"] - a["mean"]
+    both = F.struct(
+        w.alias("w"),
+        (a["w2"] + b["w2"]).alias("w2"),
+        (a["mean"] + delta * b["w"] / w).alias("mean"),
+        (a["m2"] + b["m2"] + delta * delta * a["w"] * b["w"] / w).alias("m2"),
+        (a["n"] + b["n"]).alias("n"),
+    )
+    return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
+
+
 def _weighted_step(s: Column, v: Column) -> Column:
     """Add one observation of weight 1 to the running weighted mean and sum of squares."""
     delta = v - s["mean"]

@@ -30,11 +30,12 @@ from demandflow.operators.series import by_product, from_end, in_time
 from demandflow.operators.windows import (
     BOUNDARY_LAGS,
     DEMAND_LAGS,
-    EWM_FRAME,
     boundary_features,
     ewm_of,
+    next_ewm_state,
     volatility,
     weekly_features,
+    with_ewm,
 )
 from demandflow.plans.boundary import boundary_model, boundary_seasonal_value, boundary_value, pulled
 from demandflow.plans.seasonal import SPIKE, _flag, seasonal_model, seasonal_value
@@ -93,10 +94,10 @@ def gbt_blend_forecast(
         subset=["demand", *columns]
     )
     seasonal = seasonal_model(series, flagged_ids, spike).drop("last_week")
-    state = _latest(scaled, F.max("cv").alias("cv")).join(seasonal, "product_id")
+    state = _latest(scaled, max(DEMAND_LAGS), F.max("cv").alias("cv")).join(seasonal, "product_id")
 
-    def features(hist: Column, day: Column) -> list[Column]:
-        ewm = ewm_of(hist)
+    def features(hist: Column, state: Column, day: Column) -> list[Column]:
+        ewm = ewm_of(state)
         newer, older = median_of(F.slice(hist, 1, 4)), median_of(F.slice(hist, 5, 4))
         parts = date_features(day)
         change = clip(F.coalesce(ratio(F.get(hist, F.lit(0)), F.get(hist, F.lit(13))), F.lit(1.0)), 0.1, 10.0)
@@ -117,7 +118,7 @@ def gbt_blend_forecast(
         base = seasonal_value(day)
         return zero_floor(F.coalesce(weight * trees + (1 - weight) * base, base))
 
-    return _walk(state, _fit(training, columns, params), horizon, features, blended)
+    return _walk(state, _fit(training, columns, params), horizon, max(DEMAND_LAGS), features, blended)
 
 
 def boundary_forecast(
@@ -137,10 +138,10 @@ def boundary_forecast(
         .withColumns({c: F.lag(c, 1).over(in_time()) for c in BOUNDARY_STATE})
         .dropna(subset=["demand", *columns])
     )
-    state = _latest(scaled).join(boundary_model(series, spike).drop("last_week"), "product_id")
+    state = _latest(scaled, max(*BOUNDARY_LAGS, 8)).join(boundary_model(series, spike).drop("last_week"), "product_id")
 
-    def features(hist: Column, day: Column) -> list[Column]:
-        ewm = ewm_of(hist, 4)
+    def features(hist: Column, state: Column, day: Column) -> list[Column]:
+        ewm = ewm_of(state, 4)
         parts = date_features(day)
         rolled = [f for w in (4, 8) for f in (median_of(F.slice(hist, 1, w)), _sample_std(F.slice(hist, 1, w), max(2, w // 2)))]
         return [
@@ -156,7 +157,7 @@ def boundary_forecast(
         mixed = pulled(weight * trees + (1 - weight) * boundary_seasonal_value(day))
         return zero_floor(F.coalesce(mixed, boundary_value(day)))
 
-    return _walk(state, _fit(training, columns, params), horizon, features, blended)
+    return _walk(state, _fit(training, columns, params), horizon, max(*BOUNDARY_LAGS, 8), features, blended)
 
 
 def _scaled(cleaned: DataFrame) -> DataFrame:
@@ -174,14 +175,19 @@ def _sample_std(values: Column, least: int) -> Column:
     return F.when(n >= least, F.sqrt(squares / F.greatest(n - 1, F.lit(1))))
 
 
-def _latest(scaled: DataFrame, *measures: Column) -> DataFrame:
-    """One row per product with its last EWM_FRAME values, newest first, as `hist`."""
-    ranked = scaled.withColumn("_rank", F.row_number().over(from_end())).where(F.col("_rank") <= EWM_FRAME)
-    kept = F.array_sort(F.collect_list(F.struct("_rank", "demand")))
+def _latest(scaled: DataFrame, values: int, *measures: Column) -> DataFrame:
+    """One row per product: its last `values` values, newest first, as `hist`, and its `ewm_state`.
+
+    The lags need no more values than the longest of them; the state stands for the whole history.
+    """
+    ranked = with_ewm(scaled, keep_state=True).withColumn("_rank", F.row_number().over(from_end()))
+    latest = F.when(F.col("_rank") <= values, F.struct("_rank", "demand"))
+    kept = F.array_sort(F.collect_list(latest))
     return ranked.groupBy("product_id").agg(
         F.transform(kept, lambda r: r["demand"]).alias("hist"),
         F.max("week_end").alias("last_week"),
         F.max("scale").alias("scale"),
+        F.max_by("ewm_state", "week_end").alias("ewm_state"),
         *measures,
     )
 
@@ -206,22 +212,26 @@ def _fit(training: DataFrame, columns: Sequence[str], params: TreeParams) -> GBT
     return trees.fit(vectors)
 
 
-def _walk(state: DataFrame, model: GBTRegressionModel | None, horizon: int, features, blended) -> DataFrame:
+def _walk(
+    state: DataFrame, model: GBTRegressionModel | None, horizon: int, most: int, features, blended
+) -> DataFrame:
     """Forecast week by week, feeding each value back as the newest of `hist`.
 
-    Every step has the same expressions over `hist`, `_day` and `_step`, which are built once.
+    `ewm_state` moves on with each value. Every step has the same expressions over `hist`,
+    `ewm_state`, `_day` and `_step`, which are built once.
     The outer explode matters: for an inner one Spark would infer a filter on the path and push
     it, with every step's expression inlined, below all steps.
     """
-    keep = [c for c in state.columns if c != "hist"]
-    inputs = F.array(*[c.cast("double") for c in features(F.col("hist"), F.col("_day"))])
+    keep = [c for c in state.columns if c not in ("hist", "ewm_state")]
+    inputs = F.array(*[c.cast("double") for c in features(F.col("hist"), F.col("ewm_state"), F.col("_day"))])
     vector = array_to_vector(F.transform("_x", lambda x: F.coalesce(x, F.lit(0.0))))
     tree = F.lit(None).cast("double")
     if model is not None:
         tree = F.when(~F.exists("_x", lambda x: x.isNull()), F.col("prediction") * F.col("scale"))
     value = blended(tree, F.col("_day"), F.col("_step"))
     grown = [
-        F.concat(F.array(F.col("_value") / F.col("scale")), F.slice("hist", 1, EWM_FRAME - 1)).alias("hist"),
+        F.concat(F.array(F.col("_value") / F.col("scale")), F.slice("hist", 1, most - 1)).alias("hist"),
+        next_ewm_state(F.col("ewm_state"), F.col("_value") / F.col("scale")).alias("ewm_state"),
         F.concat("path", F.array("_value")).alias("path"),
     ]
     walked = state.withColumn("path", F.array().cast("array<double>"))

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandflow.operators.lookups import facts_by_quarter, previous_quarter_balance, yield_x_capacity
+from demandflow.operators.lookups import complete_quarters, facts_by_quarter, previous_quarter_balance, unique_priorities
 from demandflow.session import cut_lineage
 
 
@@ -46,12 +47,12 @@ class PlanLimits:
 def plan_inputs(facts: DataFrame, density: DataFrame, yields: DataFrame, capacity: DataFrame) -> DataFrame:
     """One row per product, quarter and week with everything the plan needs.
 
-    Quarters without safety stock, demand, previous balance, density, yield or capacity are
-    left out.
+    Quarters without safety stock, demand, previous balance or density, or that lack the yield or
+    the capacity of any of their weeks, are left out.
     """
     scalars = previous_quarter_balance(facts_by_quarter(facts, ["safety_stock", "demand", "balance"]))
     scalars = scalars.dropna(subset=["safety_stock", "demand", "opening"]).drop("balance")
-    weeks = yield_x_capacity(yields, capacity).dropna(subset=["yield_value", "capacity"])
+    weeks = complete_quarters(yields, capacity)
     return (
         weeks.join(scalars, ["product_id", "quarter"])
         .join(density.select("product_id", F.floor("density").cast("int").alias("density")), "product_id")
@@ -98,17 +99,30 @@ def _total(b: Column, lots: Column, lot: int) -> Column:
     return F.aggregate(F.zip_with(b, lots, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) * lot
 
 
-def largest_lots(cap: Column, limits: PlanLimits) -> Column:
-    """Lots per week of the largest plan within capacity and ramp, from the last week back."""
-    whole = F.transform(cap, lambda c: F.floor(c / limits.lot).cast("long"))
-    return F.aggregate(
-        F.reverse(whole),
-        F.array().cast("array<bigint>"),
-        lambda later, c: F.concat(
-            F.array(F.least(c, F.coalesce(F.get(later, F.lit(0)) + limits.ramp_lots, c))), later
-        ),
+def largest_lots(cap: Column, seqs: Column, limits: PlanLimits) -> Column:
+    """Lots per week of the largest plan within capacity and ramp, from the last week back.
+
+    `seqs` numbers the weeks: over a missing week the plan may drop by two weeks' decrease.
+    """
+    weeks = F.zip_with(
+        cap,
+        seqs,
+        lambda c, s: F.struct(F.floor(c / limits.lot).cast("long").alias("c"), s.cast("long").alias("s")),
     )
 
+    def back(acc: Column, week: Column) -> Column:
+        later = F.get(acc["lots"], F.lit(0)) + (acc["s"] - week["s"]) * limits.ramp_lots
+        lots = F.least(week["c"], F.coalesce(later, week["c"]))
+        return F.struct(week["s"].alias("s"), F.concat(F.array(lots), acc["lots"]).alias("lots"))
+
+    start = F.struct(F.lit(None).cast("long").alias("s"), F.array().cast("array<bigint>").alias("lots"))
+    return F.aggregate(F.reverse(weeks), start, back, lambda acc: acc["lots"])
+
+
+def _raised(leftover: Column) -> Column:
+    """Capacity plus a donor's leftover of the same week, a map by week number."""
+    return F.zip_with("cap", "seqs", lambda c, s: c + F.coalesce(F.try_element_at(leftover, s), F.lit(0.0)))
+
 
 def cut_to_band(b: Column, largest: Column, lo: Column, hi: Column, limits: PlanLimits) -> Column:
     """Plan whose supply lies in [lo, hi]: struct(feasible, lots).
@@ -183,7 +197,7 @@ def plan_packed(packed: DataFrame, limits: PlanLimits) -> DataFrame:
     week's lot may be jumped over, which `band_too_narrow` tells.
     """
     need = F.col("safety_stock") + F.col("demand") - F.col("opening")
-    planned = packed.withColumn("_u", largest_lots(F.col("cap"), limits)).withColumn(
+    planned = packed.withColumn("_u", largest_lots(F.col("cap"), F.col("seqs"), limits)).withColumn(
         "_plan", cut_to_band(F.col("b"), F.col("_u"), need + limits.lo, need + limits.hi, limits)
     )
     lots = F.transform("_plan.lots", lambda y: (y * limits.lot).cast("double"))
@@ -248,18 +262,24 @@ def rescue_plan(inputs: DataFrame, priority: DataFrame, limits: PlanLimits = Pla
     was rescued itself, so every rescue runs at once, whatever the number of priorities. A donor
     without a plan has nothing left. The first plans, one short row per quarter, are
     checkpointed because donors, rescues and kept plans all read them.
-    `priority`: product_id, priority (1 is highest). Adds `rescued`.
+    `priority`: product_id, priority (1 is highest), `line` where there are several. A product
+    without priority is planned without a donor. Adds `rescued`.
     """
-    ranked = inputs.join(priority.select("product_id", "priority"), "product_id")
-    first = cut_lineage(plan_packed(pack_quarters(ranked, "priority"), limits))
-    donor = first.where(F.col("feasible")).select(
-        (F.col("priority") + 1).alias("priority"),
-        "quarter",
-        F.zip_with("cap", "wafers", lambda c, w: c - w).alias("leftover"),
+    ranked = inputs.join(unique_priorities(priority), "product_id", "left")
+    first = cut_lineage(plan_packed(pack_quarters(ranked, "line", "priority"), limits))
+    donor = first.where(F.col("feasible") & F.col("priority").isNotNull()).select(
+        F.col("line").alias("_line"),
+        (F.col("priority") + 1).alias("_priority"),
+        F.col("quarter").alias("_quarter"),
+        F.map_from_arrays("seqs", F.zip_with("cap", "wafers", lambda c, w: c - w)).alias("leftover"),
     )
-    raised = first.where(~F.col("feasible")).join(donor, ["priority", "quarter"], "left").withColumn(
-        "cap", F.transform("cap", lambda c, i: c + F.coalesce(F.get(F.col("leftover"), i), F.lit(0.0)))
+    lacking = first.where(~F.col("feasible"))
+    same = (
+        (lacking["priority"] == donor["_priority"])
+        & (lacking["quarter"] == donor["_quarter"])
+        & lacking["line"].eqNullSafe(donor["_line"])
     )
+    raised = lacking.join(donor, same, "left").withColumn("cap", _raised(F.col("leftover")))
     second = plan_packed(raised.select(*first.columns), limits).withColumn("rescued", F.col("feasible"))
     kept = first.where(F.col("feasible")).withColumn("rescued", F.lit(False))
     return unpack_plan(kept.unionByName(second), "rescued")
@@ -274,16 +294,16 @@ _ROLLED = (
 def _roll(packed: DataFrame, limits: PlanLimits, *keys: str, rescue: bool) -> DataFrame:
     """Fold the packed quarters of each product in order, carrying the balance along.
 
-    With `rescue`, `spare` (array or null) is what a donor leaves per week; it is added to the
+    With `rescue`, `spare` (map by week number, or null) is what a donor leaves per week; it is added to the
     capacity of a quarter that has no plan otherwise. The output's own `spare` is what the first plan of the
     quarter leaves, all 0 without one.
     """
-    ready = packed.withColumn("u", largest_lots(F.col("cap"), limits))
+    ready = packed.withColumn("u", largest_lots(F.col("cap"), F.col("seqs"), limits))
     fields = ["quarter_index", "quarter", "safety_stock", "demand", "opening", "seqs", "labels", "b", "cap", "u"]
     if rescue:
-        raised = F.transform("cap", lambda c, i: c + F.coalesce(F.get(F.col("spare"), i), F.lit(0.0)))
+        raised = _raised(F.col("spare"))
         ready = ready.withColumn("cap2", F.when(F.col("spare").isNotNull(), raised)).withColumn(
-            "u2", largest_lots(F.col("cap2"), limits)
+            "u2", largest_lots(F.col("cap2"), F.col("seqs"), limits)
         )
         fields += ["cap2", "u2"]
     chain = ready.groupBy("product_id", *keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("quarters"))
@@ -353,26 +373,35 @@ def roll_plan(inputs: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame
     return _roll(packed, limits, rescue=False).drop("spare", "rescued")
 
 
-def production_plan(inputs: DataFrame, priority: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame:
+def production_plan(
+    inputs: DataFrame, priority: DataFrame, limits: PlanLimits = PlanLimits(), most_levels: int = 100
+) -> DataFrame:
     """Rolling plan of whole production lines with rescue.
 
-    `priority`: product_id, line, priority (1, 2, ... within a line). A quarter without a plan
-    is planned again with what the line's next higher product left unused that quarter. All
-    lines advance together, one pass per priority; a pass is checkpointed because the next one
-    reads it and the result keeps it.
+    `priority`: product_id, line, priority (any whole numbers, each once within a line). A quarter
+    without a plan is planned again with what the line's product of the next smaller number left
+    unused that quarter; a product without priority has no donor. All lines advance together, one
+    pass per priority; a pass is checkpointed because the next one reads it and the result keeps
+    it. More than `most_levels` different priorities are an error: each costs a job.
     """
-    ranked = inputs.join(priority.select("product_id", "line", "priority"), "product_id")
+    ranked = inputs.join(unique_priorities(priority), "product_id", "left")
     packed = cut_lineage(pack_quarters(ranked, "line", "priority"))
-    levels = packed.agg(F.max("priority")).first()[0] or 0
-    planned = None
-    for level in range(1, levels + 1):
-        mine = packed.where(F.col("priority") == level)
-        if planned is not None:
-            donor = planned.where(F.col("priority") == level - 1).select("line", "quarter", "spare")
-            mine = mine.join(donor, ["line", "quarter"], "left")
-        rolled = cut_lineage(_roll(mine, limits, "line", "priority", rescue=planned is not None))
-        planned = rolled if planned is None else planned.unionByName(rolled)
-    return _roll(packed, limits, "line", "priority", rescue=False) if planned is None else planned
+    levels = [r[0] for r in packed.select("priority").distinct().limit(most_levels + 2).collect()]
+    if len(levels) > most_levels + 1:
+        raise ValueError(f"more than {most_levels} different priorities")
+    done: dict[int | None, DataFrame] = {}
+    for level in sorted(levels, key=lambda x: (x is not None, x or 0)):
+        mine = packed.where(F.col("priority").eqNullSafe(F.lit(level)))
+        above = done.get(level - 1) if level is not None else None
+        if above is not None:
+            donor = above.select(
+                F.col("line").alias("_line"), F.col("quarter").alias("_quarter"), F.map_from_arrays("seqs", "spare").alias("spare")
+            )
+            mine = mine.join(donor, mine["line"].eqNullSafe(donor["_line"]) & (mine["quarter"] == donor["_quarter"]), "left")
+        done[level] = cut_lineage(_roll(mine, limits, "line", "priority", rescue=above is not None))
+    if not done:
+        return _roll(packed, limits, "line", "priority", rescue=False)
+    return reduce(DataFrame.unionByName, done.values())
 
 
 def rolled_weeks(rolled: DataFrame) -> DataFrame:

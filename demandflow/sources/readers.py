@@ -122,12 +122,15 @@ def two_level_header_to_long(
     then unpivoted in one narrow pass.
     """
     cells = [c for c in table.columns if c != row_column and c not in id_columns]
-    headers = {r[row_column]: r for r in table.where(F.col(row_column) < 2).limit(2).collect()}
+    top = table.where(F.col(row_column) < 2).limit(3).collect()
+    headers = {r[row_column]: r for r in top}
+    if len(top) != 2 or set(headers) != {0, 1}:
+        raise ValueError("the table needs exactly one header row 0 and one header row 1")
     names: dict[str, tuple[str, str]] = {}
     quarter = None
     for cell in cells:
-        top, label = headers[0][cell], headers[1][cell]
-        quarter = top.strip() if top and top.strip() else quarter
+        above, label = headers[0][cell], headers[1][cell]
+        quarter = above.strip() if above and above.strip() else quarter
         if quarter is not None and label:
             names[cell] = (quarter, label.strip())
     # One SQL expression: building hundreds of columns one by one costs more than the query.

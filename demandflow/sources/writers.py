@@ -36,9 +36,13 @@ def write_weekly(df: DataFrame, path: str, file_format: str = "parquet") -> None
 
 
 def upsert_plan(target: DataFrame, new: DataFrame, keys: Sequence[str] = PLAN_KEYS) -> DataFrame:
-    """Replace all rows of every key present in `new`, then append `new`."""
+    """Replace all rows of every key present in `new`, then append `new`.
+
+    Columns that only one side has are null in the other's rows.
+    """
     replaced = new.select(*keys).distinct()
-    return target.join(replaced, list(keys), "left_anti").select(*target.columns).unionByName(new)
+    kept = target.join(replaced, list(keys), "left_anti").select(*target.columns)
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def write_plan(spark: SparkSession, new: DataFrame, path: str) -> None:
@@ -46,16 +50,19 @@ def write_plan(spark: SparkSession, new: DataFrame, path: str) -> None:
 
     Only the quarters present in `new` are read back and rewritten; the others stay as they
     are. The merged rows are checkpointed first, because a job cannot overwrite the folders
-    it is reading.
+    it is reading. Only a path that is not there counts as a new plan; other errors surface.
     """
+    merged = new
     try:
-        target = spark.read.parquet(path).select(*new.columns)
+        target = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
         touched = target.join(new.select("quarter").distinct(), ["quarter"], "left_semi")
         merged = cut_lineage(upsert_plan(touched, new))
-    except AnalysisException:
-        merged = new
     (
-        merged.repartition("quarter", "product_id")
+        merged.repartitionByRange("quarter", "product_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("quarter")
@@ -64,9 +71,12 @@ def write_plan(spark: SparkSession, new: DataFrame, path: str) -> None:
 
 
 def upsert_facts(facts: DataFrame, new: DataFrame, keys: Sequence[str] = FACT_KEYS) -> DataFrame:
-    """Set values by key: a new value wins, other rows keep theirs, new keys are added."""
+    """Set values by key: a new value wins, other rows keep theirs, new keys are added.
+
+    A null new value changes nothing; of several new values of a key the largest counts.
+    """
     old = facts.select(*keys, F.col("value").alias("_old"))
-    fresh = new.select(*keys, F.col("value").alias("_new"))
+    fresh = new.groupBy(*keys).agg(F.max("value").alias("_new"))
     return old.join(fresh, list(keys), "full_outer").select(
         *keys, F.coalesce("_new", "_old").alias("value")
     )
@@ -102,11 +112,13 @@ def write_bi(report: DataFrame, path: str) -> None:
 def facts_to_wide(facts: DataFrame, quarters: Sequence[str]) -> DataFrame:
     """One row per product and attribute, one column per quarter in the given order.
 
-    Naming the quarters keeps this one aggregation, without a job to list them first.
+    Naming the quarters keeps this one aggregation, without a job to list them first. A fact of
+    another quarter is an error. Of repeated facts the largest value counts.
     """
-    return (
-        facts.groupBy("product_id", "attribute").pivot("quarter", list(quarters)).agg(F.first("value", ignorenulls=True))
-    )
+    other = facts.where(~F.coalesce(F.col("quarter").isin(list(quarters)), F.lit(False))).select("quarter").first()
+    if other is not None:
+        raise ValueError(f"facts of a quarter that has no column: {other[0]}")
+    return facts.groupBy("product_id", "attribute").pivot("quarter", list(quarters)).agg(F.max("value"))
 
 
 def forecast_periods(forecast: DataFrame) -> DataFrame:
