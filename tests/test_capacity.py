@@ -172,21 +172,50 @@ def test_plan_inputs_drop_incomplete_keys(spark):
     facts = spark.createDataFrame(
         [
             (p, a, q, 1995, n, v)
-            for p in ("A", "B")
+            for p in ("A", "B", "C")
             for q, n in (("Q1 95", 1), ("Q2 95", 2))
             for a, v in (("EffectiveDemand", 10.0 * n), ("Safety Stock Target", 3.0), ("Total Projected Inventory Balance", 7.0 * n))
         ],
         "product_id string, attribute string, quarter string, year int, quarter_num int, value double",
     )
-    density = spark.createDataFrame([("A", 2.9)], "product_id string, density double")
-    yields = spark.createDataFrame([(p, "Q2 95", w, 0.5 * w) for p in ("A", "B") for w in (1, 2)], "product_id string, quarter string, week_seq int, yield_value double")
-    caps = spark.createDataFrame([(p, "Q2 95", w, f"WW_{13 + w}", 9.0) for p in ("A", "B") for w in (1, 2, 3)], "product_id string, quarter string, week_seq int, week_label string, capacity double")
+    density = spark.createDataFrame([("A", 2.9), ("C", 2.9)], "product_id string, density double")
+    yields = spark.createDataFrame([(p, "Q2 95", w, 0.5 * w) for p in ("A", "B", "C") for w in (1, 2) if (p, w) != ("C", 2)], "product_id string, quarter string, week_seq int, yield_value double")
+    caps = spark.createDataFrame([(p, "Q2 95", w, f"WW_{13 + w}", 9.0) for p in ("A", "B", "C") for w in (1, 2)], "product_id string, quarter string, week_seq int, week_label string, capacity double")
     got = C.plan_inputs(facts, density, yields, caps).orderBy("week_seq").collect()
     assert [(r["product_id"], r["week_seq"], r["bytes_per_wafer"], r["opening"], r["demand"]) for r in got] == [
         ("A", 1, 1.0, 7.0, 20.0), ("A", 2, 2.0, 7.0, 20.0)
     ]
 
 
+def test_missing_week_widens_the_ramp(spark):
+    limits = C.PlanLimits(lot=5, min_week=5, max_decrease=200, lo=0.0, hi=1e9)
+    rows = [r for r in weeks("A", [900, 0, 350], [1.0] * 3) if r[3] != 2]
+    plan = plans(C.capacity_plan(spark.createDataFrame(rows, SCHEMA), limits))[("A", "Q1 95")]
+    assert [(r["week_seq"], r["wafers"]) for r in plan] == [(1, 750.0), (3, 350.0)]
+
+
+def test_donor_weeks_meet_by_number(spark):
+    limits = C.PlanLimits(min_week=10, max_decrease=1000, lo=0.0, hi=50.0)
+    donor = [r for r in weeks("A", [100, 0, 100], [1.0] * 3, demand=100) if r[3] != 2]
+    rows = [*donor, *weeks("B", [40, 40, 40], [1.0] * 3, demand=130), *weeks("N", [40, 40], [1.0] * 2, demand=120)]
+    order = [("A", 1, "x"), ("B", 2, "x"), ("N", None, "x")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    ranks = spark.createDataFrame(order, "product_id string, priority int, line string")
+    for name in ("unranked", "not listed"):
+        got = plans(C.rescue_plan(frame, ranks if name == "unranked" else ranks.where("priority is not null"), limits))
+        assert {p for p, _ in got} == {"A", "B", "N"} and not got[("N", "Q1 95")][0]["feasible"]
+        assert got[("B", "Q1 95")][0]["rescued"]
+        second = next(r for r in got[("B", "Q1 95")] if r["week_seq"] == 2)
+        assert second["capacity"] == 40 and second["wafers"] <= 40
+    rolled = C.production_plan(frame, ranks, limits).collect()
+    assert {r["product_id"] for r in rolled} == {"A", "B", "N"}
+    low = spark.createDataFrame([("A", -3, "x"), ("B", 0, "x"), ("N", 0, "y")], ranks.schema)
+    assert {r["product_id"] for r in C.production_plan(frame, low, limits).collect()} == {"A", "B", "N"}
+    for twice in ([("A", 1, "x"), ("B", 1, "x")], [("A", 1, "x"), ("A", 2, "x")]):
+        with pytest.raises(ValueError, match="repeated"):
+            C.rescue_plan(frame, spark.createDataFrame(twice, ranks.schema), limits)
+
+
 def test_ramp_envelope_and_donor_rows(spark):
     df = spark.createDataFrame([("A", "q", i + 1, float(c)) for i, c in enumerate([900, 100, 500])], "product_id string, quarter string, week_seq int, capacity double")
     got = [r["envelope"] for r in ramp_envelope(df, max_decrease=300).orderBy("week_seq").collect()]

@@ -100,7 +100,7 @@ def plain_smoothing(values, horizon, n_recent=26, alpha=0.6, spike=2.5):
     if not known:
         return [0.0] * horizon
     raw = list(known.values())
-    v = cap_rule(raw, spike).tolist()
+    v = cap_rule(raw, spike)
     n = len(v)
     half = n // 2
     trend = "none"
@@ -202,7 +202,7 @@ def test_boundary_baseline(spark):
     line = make_series(spark, **cases)
     got = by_product(boundary.boundary_baseline(line, 15), "forecast")
     assert got["few"] == pytest.approx([6.0] * 15) and got["flat"] == pytest.approx([9.0] * 15)
-    v = clip_rule(cases["long"], 2.5).tolist()
+    v = clip_rule(cases["long"], 2.5)
     days = [SUNDAY + dt.timedelta(days=7 * i) for i in range(len(v) + 15)]
     m, sd = mean(v), statistics.pstdev(v)
     for day, x in zip(days[len(v):], got["long"]):

@@ -3,7 +3,9 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 
+from demandflow.operators.series import weekly_demand
 from demandflow.sources import readers, writers
 
 
@@ -80,6 +82,39 @@ def test_plan_on_disk_keeps_other_quarters(spark, tmp_path):
     assert got == {("Q1 95", "WW_01", "A", 8.0), ("Q1 95", "WW_01", "B", 2.0), ("Q2 95", "WW_14", "A", 3.0), ("Q3 95", "WW_27", "A", 4.0)}
 
 
+def test_plan_on_disk_keeps_rows_when_columns_change(spark, tmp_path):
+    path = str(tmp_path / "plan")
+    writers.write_plan(spark, spark.createDataFrame([("Q1 95", "A", 1.0), ("Q1 95", "B", 2.0)], "quarter string, product_id string, wafers double"), path)
+    writers.write_plan(spark, spark.createDataFrame([("Q1 95", "A", 9.0, "x")], "quarter string, product_id string, wafers double, note string"), path)
+    rows = {r["product_id"]: (r["wafers"], r["note"]) for r in spark.read.option("mergeSchema", "true").parquet(path).collect()}
+    assert rows == {"A": (9.0, "x"), "B": (2.0, None)}
+    with pytest.raises(AnalysisException):
+        writers.write_plan(spark, spark.createDataFrame([("A",)], "product_id string"), path)
+
+
+def test_repeated_and_null_new_facts(spark):
+    kind = "product_id string, attribute string, quarter string, value double"
+    old = spark.createDataFrame([("A", "x", "q", 1.0), ("B", "x", "q", 2.0)], kind)
+    new = spark.createDataFrame([("A", "x", "q", 5.0), ("A", "x", "q", 7.0), ("B", "x", "q", None)], kind)
+    assert {(r["product_id"], r["value"]) for r in writers.upsert_facts(old, new).collect()} == {("A", 7.0), ("B", 2.0)}
+    assert writers.upsert_facts(old, new).count() == 2
+    with pytest.raises(ValueError, match="no column"):
+        writers.facts_to_wide(old, ["other"])
+
+
+@pytest.mark.parametrize("weeks", [list(range(1, 13)), [*range(1, 13), 12], list(range(0, 13))])
+def test_week_ratio_must_be_whole(spark, fixtures, weeks):
+    facts = readers.read_quarterly_facts(spark, f"{fixtures}/quarterly_facts.csv")
+    with pytest.raises(ValueError, match="13"):
+        weekly_demand(facts, spark.createDataFrame([(w, 0.1) for w in weeks], "week int, ratio double"))
+
+
+def test_header_rows_must_be_unique(spark):
+    rows = [(0, None, None, "Q3 95"), (0, None, None, "Q4 95"), (1, None, None, "WW_09"), (2, "A", "x", "5")]
+    with pytest.raises(ValueError, match="header"):
+        readers.two_level_header_to_long(spark.createDataFrame(rows, "row_no int, _c0 string, _c1 string, _c2 string"))
+
+
 def test_facts_upsert(spark):
     schema = "product_id string, attribute string, quarter string, value double"
     old = spark.createDataFrame([("A", "x", "Q1 95", 1.0), ("A", "x", "Q2 95", 2.0)], schema)
