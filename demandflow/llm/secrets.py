@@ -36,23 +36,25 @@ class SecretParams:
     least_strings: int = 20  # fewer labelled strings of either kind fit no model, and no span is added
 
 
-def _found(text: Column, pattern: str, kind: str, value_group: int | None = None) -> Column:
-    """Array of (start, kind, kind_no, end, value, value_length) of all matches, in code points.
+def _found(text: Column, pattern: str, kind: str, value_group: int = 0) -> Column:
+    """Array of (start, kind_no, kind, end, value) of all matches, in code points.
 
-    Matches chained by \\G carry the gap before them, so lengths summed up give their places.
+    What is between the matches and the matches themselves, lengths added up in turn, give their
+    places. Texts without a match, nearly all of them, are only searched once.
     """
-    chained = rf"\G((?s:.*?))({pattern})"
-    whole, gap = F.regexp_extract_all(text, F.lit(chained), F.lit(0)), F.regexp_extract_all(text, F.lit(chained), F.lit(1))
-    value = F.regexp_extract_all(text, F.lit(chained), F.lit(2 + (value_group or 0)))
-    parts = F.arrays_zip(whole.alias("w"), gap.alias("g"), value.alias("v"))
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m"))
     empty = F.array().cast("array<struct<start:int,kind_no:int,kind:string,end:int,value:string>>")
 
     def step(acc, x):
-        at = acc["at"]
-        span = F.struct((at + F.length(x["g"])).cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), (at + F.length(x["w"])).cast("int").alias("end"), x["v"].alias("value"))
-        return F.struct((at + F.length(x["w"])).cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+        start = acc["at"] + F.length(x["g"])
+        end = start + F.length(x["m"])
+        value = F.regexp_extract(x["m"], pattern, value_group) if value_group else x["m"]
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
