@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contract import views as V
-from contract.sql_parts import PI, QU, SR, SRN, big, day, plan_ctes, r
+from contract.sql_parts import FACTS, PI, QU, SR, SRN, big, day, plan_ctes, r
 from contract.stats_queries import FLAG5, KEY, LEVEL, ROLLED, capped, rolled
 from contract.views import publish
 from demandflow.operators import inventory, series as S, stats
-from demandflow.plans import boosted, boundary, capacity, seasonal, smoothing
+from demandflow.plans import boosted, boundary, capacity, seasonal, smoothing, writeback
 from demandflow.sources import readers, writers
 
 FLAGGED = ["Brand#5", "Brand#10", "Brand#15", "Brand#20", "Brand#25"]
@@ -113,6 +113,18 @@ def plan_kpis(spark, d):
     return publish(capacity.plan_kpis(capacity.capacity_plan(V.planning(spark, d), V.LIMITS)), 1)
 
 
+def plan_to_facts(spark, d):
+    kpis = capacity.plan_kpis(capacity.capacity_plan(V.planning(spark, d), V.LIMITS))
+    return publish(writeback.plan_to_facts(V.facts(spark, d), kpis), 1)
+
+
+def forecast_to_facts(spark, d):
+    coming = seasonal.seasonal_forecast(V.series(spark, d), 26, FLAGGED)
+    scaled = coming.withColumn("forecast", F.col("forecast") * V.DEMAND_PER_UNIT)
+    wos = V.quarters(spark, d).select("product_id", "wos").distinct()
+    return publish(writeback.forecast_to_facts(V.facts(spark, d), scaled, wos), 1)
+
+
 def rescue_plan(spark, d):
     plan = capacity.rescue_plan(V.planning(spark, d), V.priorities(spark, d), V.LIMITS)
     return publish(plan.select("product_id", "quarter", "week_seq", "wafers", "feasible", "rescued"))
@@ -332,6 +344,30 @@ SELECT product_id, string_agg(CAST(CAST(round(fc * 100) AS BIGINT) AS VARCHAR),
         plan_kpis,
         f"""WITH {PLAN} SELECT product_id, quarter, {r('sum(wafers * b)', 1)} AS yielded_supply, {r('sum(wafers * b) + max(opening) - max(demand)', 1)} AS tpib,
   {r('sum(wafers * b) + max(opening) - max(demand) - max(safety_stock)', 1)} AS ibesst FROM cp GROUP BY 1, 2""",
+    ),
+    "plan_to_facts": (
+        plan_to_facts,
+        f"""WITH {PLAN}, kp AS (SELECT product_id, quarter, sum(wafers * b) AS s, sum(wafers * b) + max(opening) - max(demand) AS t, max(safety_stock) AS st FROM cp GROUP BY 1, 2),
+fresh AS (SELECT product_id, 'Yielded Supply' AS attribute, quarter, s AS value FROM kp
+  UNION ALL SELECT product_id, 'Total Projected Inventory Balance', quarter, t FROM kp
+  UNION ALL SELECT product_id, 'Inventory Balance in excess of SST', quarter, t - st FROM kp)
+SELECT product_id, attribute, quarter, {r('coalesce(n.value, o.value)', 1)} AS value
+FROM facts o FULL OUTER JOIN fresh n USING (product_id, attribute, quarter)""",
+    ),
+    "forecast_to_facts": (
+        forecast_to_facts,
+        f"""WITH {FACTS}{', grid' + SR.split(', grid')[1]}{seasonal_ctes('sr')}{future(26)}{seasonal_predict('fu')},
+fb AS (SELECT product_id, (step - 1) // 13 + 1 AS bucket, sum(fc * 3400.0) AS dem FROM pr GROUP BY 1, 2),
+la AS (SELECT product_id, max(qi) AS lqi, arg_max(demand, qi) AS dem, any_value(wos) AS wos FROM qs GROUP BY 1),
+nq AS (SELECT product_id, 0 AS bucket, lqi AS qi, dem, wos FROM la
+  UNION ALL SELECT product_id, fb.bucket, lqi + fb.bucket, fb.dem, wos FROM fb JOIN la USING (product_id)),
+ns AS (SELECT *, 'Q' || (qi % 4 + 1) || ' ' || lpad(CAST((qi // 4) % 100 AS VARCHAR), 2, '0') AS quarter,
+         coalesce(lead(dem) OVER (PARTITION BY product_id ORDER BY qi), dem) / 13 * wos AS stock FROM nq),
+fresh AS (SELECT product_id, 'EffectiveDemand' AS attribute, quarter, dem AS value FROM ns WHERE bucket > 0
+  UNION ALL SELECT product_id, 'Safety Stock Target (WOS)', quarter, wos FROM ns WHERE bucket > 0
+  UNION ALL SELECT product_id, 'Safety Stock Target', quarter, stock FROM ns)
+SELECT product_id, attribute, quarter, {r('coalesce(n.value, o.value)', 1)} AS value
+FROM facts o FULL OUTER JOIN fresh n USING (product_id, attribute, quarter)""",
     ),
     "rescue_plan": (
         rescue_plan,

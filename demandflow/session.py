@@ -27,6 +27,8 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Checkpoints go with the last reference to them; otherwise each run leaves full copies.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the Python call site of every column slows long expressions noticeably.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
