@@ -188,18 +188,26 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     rest = first.where("not linked").select("pivot").distinct()
     open_ = first.join(rest, "pivot").where(F.size("d") > 0)
     length = F.size("d")
-    most = F.ceil(length * ((1 + (1 - t) / (1 + t)) / 2) + 1e-9) + 1
+    most = F.floor(length * ((1 + (1 - t) / (1 + t)) / 2) + 1e-9) + 1
     keep = F.when(F.col("linked"), F.least(length, most)).otherwise(F.least(length, F.floor(F.col("n") * (1 - t) / t + 1e-9) + 1))
     second = open_.select("pivot", "node", F.explode("d").alias("v"), length.alias("size"), keep.cast("int").alias("keep"))
-    listed = _rarest(second, ["pivot"], F.col("keep")).join(first.select("pivot", "node", "n", "linked"), ["pivot", "node"]).join(heads.select("node", "sketch"), "node")
-    listed = cut_lineage(listed.select("pivot", "v", "node", "n", "linked", "sketch"))
-    x = listed.toDF("pivot", "v", "xn", "x_n", "x_linked", "xs")
-    y = listed.toDF("pivot", "v", "yn", "y_n", "y_linked", "ys")
-    both = F.array_intersect("xs", "ys")
+    rare = cut_lineage(_rarest(second, ["pivot"], F.col("keep")))
+    # Lists of the same members give the same pairs: one of them is enough. Lists of one give none.
+    sums = [F.sum(F.pmod(F.xxhash64(F.lit(salt), "node"), F.lit(1 << 40))).alias(f"s{salt}") for salt in (1, 2)]
+    alike = rare.groupBy("pivot", "v").agg(F.count("*").alias("members"), *sums).where("members > 1").groupBy("pivot", "members", "s1", "s2").agg(F.min("v").alias("v"))
+    # Where differences are small against the sets they travel along, and tell a pair's likeness exactly.
+    small = F.when(length <= 0.4 * F.least("n", "pn"), F.col("d")).alias("d")
+    listed = rare.join(alike, ["pivot", "v"]).join(first.select("pivot", "node", "n", "linked", small), ["pivot", "node"]).join(heads.select("node", "sketch"), "node")
+    listed = cut_lineage(listed.select("pivot", "v", "node", "n", "linked", "d", "sketch"))
+    x = listed.toDF("pivot", "v", "xn", "x_n", "x_linked", "xd", "xs")
+    y = listed.toDF("pivot", "v", "yn", "y_n", "y_linked", "yd", "ys")
     fits = (F.col("xn") < F.col("yn")) & ~(F.col("x_linked") & F.col("y_linked")) & (100 * F.least("x_n", "y_n") >= p.percent * F.greatest("x_n", "y_n"))
-    large = F.least("x_n", "y_n") >= p.k
+    apart = F.size("xd") + F.size("yd") - 2 * F.size(F.array_intersect("xd", "yd"))
+    exact = 100 * (F.col("x_n") + F.col("y_n") - apart) >= p.percent * (F.col("x_n") + F.col("y_n") + apart)
+    both = F.array_intersect("xs", "ys")
     union_head = F.slice(F.array_sort(F.array_union("xs", "ys")), 1, p.k)
-    fits = fits & (~large | ((F.size(both) >= p.least_shared) & (F.size(F.array_intersect(union_head, both)) >= p.least_shared)))
+    near = (F.size(both) >= p.least_shared) & (F.size(F.array_intersect(union_head, both)) >= p.least_shared)
+    fits = fits & F.when(F.col("xd").isNotNull() & F.col("yd").isNotNull(), exact).otherwise((F.least("x_n", "y_n") < p.k) | near)
     again = x.join(y, ["pivot", "v"]).where(fits).select(F.col("xn").alias("pivot"), F.col("yn").alias("node")).distinct()
     again = cut_lineage(again.join(pairs, ["pivot", "node"], "left_anti").join(pairs.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")), ["pivot", "node"], "left_anti"))
     edges.append(_compare(again, sets, p, differences=False).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
