@@ -22,7 +22,7 @@ SPACE_MARK = "▁"  # stands for the space before a word, as in the vocabulary f
 @dataclass(frozen=True)
 class CountParams:
     model_path: str = "/opt/tokenizers/piece_bpe_32k.model"  # read by the driver, its pieces are sent to the tasks
-    nodes: int = 300_000  # trie nodes and words a task holds at most; it starts afresh beyond
+    nodes: int = 800_000  # trie nodes and words a task holds at most; it starts afresh beyond
 
 
 def read_pieces(path: str) -> tuple[dict[str, float], float]:
@@ -43,13 +43,14 @@ class Trie(dict):
     """Token count by word, computed on first use."""
 
     def __init__(self, pieces: dict[str, float], byte_score: float, most: int):
-        self.pieces, self.byte_score, self.most = pieces, byte_score, most
-        self.longest = max(map(len, pieces), default=1)
+        self.byte_score, self.most = byte_score, most
+        # Scores by piece, and None by any other ending of one: without an entry no longer piece can end here.
+        self.endings: dict[str, float | None] = {piece[i:]: None for piece in pieces for i in range(1, len(piece))} | pieces
         self._fresh()
 
     def _fresh(self) -> None:
         self.clear()
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.score, self.count = [0.0], [0]
 
     def __missing__(self, word: bytes) -> int:
@@ -61,16 +62,19 @@ class Trie(dict):
         if len(self.score) > self.most or len(self) > self.most:
             self._fresh()
         text = SPACE_MARK + word.decode("utf-8", "replace")
-        path, node, pieces, score, count = [0], 0, self.pieces, self.score, self.count
+        path, node, endings, score, count = [0], 0, self.endings, self.score, self.count
         for end in range(1, len(text) + 1):
-            key = node, text[end - 1]
+            key = node << 21 | ord(text[end - 1])
             node = self.child.get(key)
             if node is None:
                 size = len(text[end - 1].encode("utf-8", "replace"))
                 above = path[-1]
                 best, tokens = score[above] + size * self.byte_score, count[above] + size
-                for start in range(max(0, end - self.longest), end):
-                    if (own := pieces.get(text[start:end])) is not None:
+                for start in range(end - 1, -1, -1):
+                    own = endings.get(text[start:end], 0)
+                    if own == 0:
+                        break
+                    if own is not None:
                         above = path[start]
                         new = score[above] + own
                         if new > best or new == best and count[above] + 1 < tokens:
