@@ -36,6 +36,7 @@ class NearParams:
     k: int = 32  # sketch values
     miss: float = 1e-7  # chance that a pair at the threshold shares fewer sketch values than asked for
     part: int = 256  # members compared with one copy of their pivot
+    carried: int = 256  # differences of up to so many hashes travel whole, and tell a pair's likeness exactly
 
     @property
     def similarity(self) -> float:
@@ -195,19 +196,25 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     # Lists of the same members give the same pairs: one of them is enough. Lists of one give none.
     sums = [F.sum(F.pmod(F.xxhash64(F.lit(salt), "node"), F.lit(1 << 40))).alias(f"s{salt}") for salt in (1, 2)]
     alike = rare.groupBy("pivot", "v").agg(F.count("*").alias("members"), *sums).where("members > 1").groupBy("pivot", "members", "s1", "s2").agg(F.min("v").alias("v"))
-    # Where differences are small against the sets they travel along, and tell a pair's likeness exactly.
-    small = F.when(length <= 0.4 * F.least("n", "pn"), F.col("d")).alias("d")
-    listed = rare.join(alike, ["pivot", "v"]).join(first.select("pivot", "node", "n", "linked", small), ["pivot", "node"]).join(heads.select("node", "sketch"), "node")
-    listed = cut_lineage(listed.select("pivot", "v", "node", "n", "linked", "d", "sketch"))
-    x = listed.toDF("pivot", "v", "xn", "x_n", "x_linked", "xd", "xs")
-    y = listed.toDF("pivot", "v", "yn", "y_n", "y_linked", "yd", "ys")
-    fits = (F.col("xn") < F.col("yn")) & ~(F.col("x_linked") & F.col("y_linked")) & (100 * F.least("x_n", "y_n") >= p.percent * F.greatest("x_n", "y_n"))
+    # Differences that are few, or small against the sets, travel along and tell a pair's likeness exactly.
+    small = F.when(length <= F.greatest(F.lit(p.carried), 0.4 * F.least("n", "pn")), F.col("d")).alias("d")
+    listed = rare.join(alike, ["pivot", "v"]).join(first.select("pivot", "node", "n", small), ["pivot", "node"]).join(heads.select("node", "sketch"), "node")
+    # What the pivots already join needs no second link: only pairs of different roots are looked at.
+    listed = listed.join(components(edges[0]), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    listed = cut_lineage(listed.select("pivot", "v", "node", "n", "root", "d", "sketch"))
+    x = listed.toDF("pivot", "v", "xn", "x_n", "x_root", "xd", "xs")
+    y = listed.toDF("pivot", "v", "yn", "y_n", "y_root", "yd", "ys")
+    fits = (F.col("xn") < F.col("yn")) & (F.col("x_root") != F.col("y_root")) & (100 * F.least("x_n", "y_n") >= p.percent * F.greatest("x_n", "y_n"))
     apart = F.size("xd") + F.size("yd") - 2 * F.size(F.array_intersect("xd", "yd"))
     exact = 100 * (F.col("x_n") + F.col("y_n") - apart) >= p.percent * (F.col("x_n") + F.col("y_n") + apart)
     both = F.array_intersect("xs", "ys")
     union_head = F.slice(F.array_sort(F.array_union("xs", "ys")), 1, p.k)
     near = (F.size(both) >= p.least_shared) & (F.size(F.array_intersect(union_head, both)) >= p.least_shared)
-    fits = fits & F.when(F.col("xd").isNotNull() & F.col("yd").isNotNull(), exact).otherwise((F.least("x_n", "y_n") < p.k) | near)
+    # A sketch of a set of at most k is the set; of a longer one it lacks n - k, which a shorter set may share.
+    most_shared = F.size(both) + F.greatest(F.lit(0), F.greatest("x_n", "y_n") - p.k)
+    whole = (100 + p.percent) * most_shared >= p.percent * (F.col("x_n") + F.col("y_n"))
+    by_sketch = F.when(F.least("x_n", "y_n") <= p.k, whole).otherwise(near)
+    fits = fits & F.when(F.col("xd").isNotNull() & F.col("yd").isNotNull(), exact).otherwise(by_sketch)
     again = x.join(y, ["pivot", "v"]).where(fits).select(F.col("xn").alias("pivot"), F.col("yn").alias("node")).distinct()
     again = cut_lineage(again.join(pairs, ["pivot", "node"], "left_anti").join(pairs.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")), ["pivot", "node"], "left_anti"))
     edges.append(_compare(again, sets, p, differences=False).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
