@@ -52,7 +52,7 @@ def plain_seasonal(values, horizon, flagged=False, spike=2.5):
     known = [v for v in values if v is not None]
     cv = statistics.stdev(known) / mean(known) if len(known) > 1 else 0
     rule = local_rule if cv > 0.5 or flagged else cap_rule
-    v = [None if math.isnan(x) else x for x in rule(values, 2.0 if flagged else spike).tolist()]
+    v = rule(values, 2.0 if flagged else spike)
     overall = mean(v)
     cells, qs, ws = {}, {}, {}
     for day, x in zip(days, v):
