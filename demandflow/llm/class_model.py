@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandflow.llm.common import binary_texts, slices
-from demandflow.session import cut_lineage
+from demandflow.session import checkpoint, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -176,7 +176,7 @@ def exchange(pairs: DataFrame, clustered: int, p: ClassParams) -> tuple[np.ndarr
     classes = np.concatenate([np.arange(clustered) % k, k + np.arange(p.spellings + 1)]).astype(np.int64)
     either = pairs.where(F.col("a") < clustered).select(F.col("a").alias("w"), F.lit(True).alias("follows"), F.col("b").alias("u"), "n").union(pairs.where(F.col("b") < clustered).select(F.col("b"), F.lit(False), F.col("a"), "n"))
     # A word has at most two rows a unit, so a part is bounded by the parameters whatever the corpus.
-    dealt = cut_lineage(either.repartition(p.parts, F.pmod("w", F.lit(p.parts))).sortWithinPartitions("w", "follows", "u"))
+    dealt = checkpoint(either.repartition(p.parts, F.pmod("w", F.lit(p.parts))).sortWithinPartitions("w", "follows", "u"))
 
     def summed(at: np.ndarray) -> np.ndarray:
         """The class table, aggregated from the pairs on Spark."""
