@@ -60,18 +60,18 @@ class ChatTemplate:
         return role if role in self.follows and role else state, role in self.follows[state]
 
     @cached_property
-    def _bare(self) -> re.Pattern:
-        return re.compile("|".join(rf"(?<={re.escape(c[0])})(?=\\*{re.escape(c[1:])})" for c in self.controls))
-
-    @cached_property
-    def _escaped(self) -> re.Pattern:
-        return re.compile("|".join(rf"(?<={re.escape(c[0])})\\(?=\\*{re.escape(c[1:])})" for c in self.controls))
+    def _patterns(self) -> tuple[re.Pattern, re.Pattern]:
+        """Marks in a text, bare or escaped, and escaped ones."""
+        firsts = re.escape("".join(sorted({c[0] for c in self.controls})))
+        rests = "|".join(re.escape(c[1:]) for c in self.controls)
+        known = "".join(sorted({re.escape(c[1]) for c in self.controls}))
+        return re.compile(rf"([{firsts}])(?=[\\{known}])(?=\\*(?:{rests}))"), re.compile(rf"([{firsts}])\\(?=\\*(?:{rests}))")
 
     def escape(self, text: str) -> str:
-        return self._bare.sub(r"\\", text)
+        return self._patterns[0].sub(r"\1\\", text)
 
     def unescape(self, text: str) -> str:
-        return self._escaped.sub("", text)
+        return self._patterns[1].sub(r"\1", text) if "\\" in text else text
 
     def turn(self, role: str, text: str) -> Iterator[tuple[str, bool]]:
         """(segment, loss) of a turn."""
@@ -90,22 +90,16 @@ class ChatTemplate:
     def closings(self) -> tuple[str, ...]:
         return (*{m.closing for m in self.roles.values()}, self.named[2])
 
-    @cached_property
-    def _whole(self) -> re.Pattern:
-        ways = [f"{re.escape(m.opening)}(.*?){re.escape(m.closing)}" for m in self.roles.values()]
-        opening, middle, closing = map(re.escape, self.named)
-        return re.compile("|".join([*ways, f"{opening}(.*?){middle}(.*?){closing}"]), re.DOTALL)
-
     def read(self, formatted: str) -> tuple[str, str]:
         """(role, text) of one formatted turn."""
-        found = self._whole.fullmatch(formatted)
-        if found is None:
+        for role, marks in self.roles.items():
+            if formatted.startswith(marks.opening) and formatted.endswith(marks.closing):
+                return role, self.unescape(formatted[len(marks.opening) : len(formatted) - len(marks.closing)])
+        opening, middle, closing = self.named
+        if not formatted.startswith(opening) or not formatted.endswith(closing):
             raise ValueError("not a turn of this template")
-        groups = found.groups()
-        for role, text in zip(self.roles, groups):
-            if text is not None:
-                return role, self.unescape(text)
-        return self.unescape(groups[-2]), self.unescape(groups[-1])
+        role, _, text = formatted[len(opening) : len(formatted) - len(closing)].partition(middle)
+        return self.unescape(role), self.unescape(text)
 
 
 SEGMENTS = "turn long, segment string, loss boolean, legal boolean, state string"
