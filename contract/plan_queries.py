@@ -53,6 +53,22 @@ def gbt_forecast(spark, d):
     return publish(boosted.gbt_blend_forecast(V.series(spark, d), 13, FLAGGED))
 
 
+def backtest_gbt(spark, d):
+    return publish(boosted.gbt_backtest(V.series(spark, d)).drop("error"))
+
+
+#: A grid that a test run can afford; the library's own has 27 fits of 300 trees.
+SMALL_TREE_GRID = {"trees": (5, 10), "learning_rate": (0.1, 0.3), "depth": (3,), "min_rows": (1, 3)}
+
+
+def gbt_grid_search(spark, d):
+    return publish(boosted.tree_grid_search(V.series(spark, d), SMALL_TREE_GRID))
+
+
+def backtest_boundary_trees(spark, d):
+    return publish(boosted.boundary_backtest(capacity_series(spark, d)).drop("error"))
+
+
 def capacity_series(spark, d):
     return V.series(spark, d).withColumn("demand", F.col("demand") * V.WAFERS_PER_UNIT)
 
@@ -300,6 +316,9 @@ SELECT product_id, {r('min(units) + max(units) - max(dem) - avg(wos)')} AS net F
     ),
     "gbt_forecast": (gbt_forecast, None),
     "boundary_forecast": (boundary_forecast, None),
+    "backtest_gbt": (backtest_gbt, None),
+    "gbt_grid_search": (gbt_grid_search, None),
+    "backtest_boundary_trees": (backtest_boundary_trees, None),
     "boundary_baseline": (
         boundary_baseline,
         f"WITH {CAPACITY}{future(26)}{boundary_ctes('cs', 'fu')} SELECT {KEY}, {big('step')} AS step, {r('fc')} AS forecast FROM pr",
