@@ -151,6 +151,25 @@ def roll_plan(spark, d):
     return publish(rolled_.select("product_id", "quarter", "feasible", "opening", "supply", "balance", "excess"), 1)
 
 
+def limits_plan(spark, d):
+    """Rolling plan in larger lots and a narrower band from the middle of each product's quarters on."""
+    inputs = V.planning(spark, d)
+    spans = inputs.groupBy("product_id").agg(F.min("quarter_index").alias("first"), F.max("quarter_index").alias("last"))
+    half = F.floor((F.col("first") + F.col("last")) / 2).cast("int")
+    limits = V.LIMITS
+
+    def interval(start, end, lot, hi):
+        values = {"lot": lot, "min_week": limits.min_week, "max_decrease": limits.max_decrease, "lo": limits.lo, "hi": hi}
+        fields = [F.lit(v).cast("int" if n == "lot" else "double").alias(n) for n, v in values.items()]
+        return F.struct(start.cast("int").alias("from_index"), end.cast("int").alias("until_index"), *fields)
+
+    early = interval(F.col("first"), half, limits.lot, limits.hi)
+    late = interval(half, F.lit(None), 2 * limits.lot, (limits.lo + limits.hi) / 2)
+    table = spans.select("product_id", F.inline(F.array(early, late)))
+    rolled_ = capacity.roll_plan(inputs, table)
+    return publish(rolled_.select("product_id", "quarter", "feasible", "opening", "supply", "balance", "excess"), 1)
+
+
 def production_plan(spark, d):
     """Lines of three brands each; the second and third may use what the one before leaves."""
     brands = V.table(spark, d, "part").select(F.col("p_brand").alias("product_id")).distinct()
@@ -394,5 +413,6 @@ FROM facts o FULL OUTER JOIN fresh n USING (product_id, attribute, quarter)""",
 UNION ALL SELECT product_id, quarter, {big('week_seq')}, {r('wafers')}, feasible, feasible FROM c2""",
     ),
     "roll_plan": (roll_plan, None),
+    "limits_plan": (limits_plan, None),
     "production_plan": (production_plan, None),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contract import views as V
@@ -11,7 +13,8 @@ from demandflow.functions.calendar import date_features, quarter_num_of, quarter
 from demandflow.functions.numeric import normalize_label
 from demandflow.operators import filters, series as S
 from demandflow.operators.stats import eligible_products
-from demandflow.sources import readers, writers
+from demandflow.session import shared_folder
+from demandflow.sources import commits, readers, writers
 
 
 def clean_numeric(spark, d):
@@ -30,7 +33,8 @@ cells AS (SELECT product_id, quarter, demand FROM ids CROSS JOIN labels LEFT JOI
 )
 
 
-def two_level_header(spark, d):
+def header_sheet(spark, d):
+    """Weekly capacity as a sheet: row 0 names quarters, row 1 weeks, the others products."""
     weeks = V.weekly_quarters(spark, d)
     ends = V.week_end(F.to_date("l_shipdate"))
     first, last = V.table(spark, d, "lineitem").agg(F.min(ends), F.max(ends)).first()
@@ -59,7 +63,23 @@ def two_level_header(spark, d):
         F.format_number("capacity", 0).alias("cell"),
     )
     heads = heads.select("row_no", blank.alias("_c0"), blank.alias("_c1"), "pos", "cell")
-    return publish(readers.two_level_header_to_long(sheet(heads.unionByName(body))), 1)
+    return sheet(heads.unionByName(body))
+
+
+def two_level_header(spark, d):
+    return publish(readers.two_level_header_to_long(header_sheet(spark, d)), 1)
+
+
+def two_header_files(spark, d):
+    """The same sheet written as text files, each with the header rows in front, and read from there."""
+    sheet = header_sheet(spark, d)
+    cells = [c for c in sheet.columns if c != "row_no"]
+    files = F.when(F.col("row_no") < 2, F.sequence(F.lit(0), F.lit(2))).otherwise(F.array((F.col("row_no") % 3).cast("int")))
+    line = F.to_csv(F.struct(*cells), {"emptyValue": "", "nullValue": ""})
+    folder = f"{shared_folder(spark).rstrip('/')}/sheet-{uuid.uuid4().hex}"
+    lines = sheet.select("row_no", line.alias("line"), F.explode(files).alias("part"))
+    lines.repartitionByRange("part").sortWithinPartitions("part", "row_no").select("line", "part").write.partitionBy("part").text(folder)
+    return publish(readers.read_two_header_table(spark, folder)[0], 1)
 
 
 def plan_upsert(spark, d):
@@ -82,6 +102,21 @@ def facts_upsert(spark, d):
     return publish(writers.upsert_facts(old, fresh), 1)
 
 
+def stored_facts(spark, d):
+    """The same upsert on disk: two commits, of which the second changes the touched buckets only."""
+    old = V.facts(spark, d)
+    fresh = filters.filter_attribute(old).select(
+        "product_id",
+        "attribute",
+        V.quarter_label(F.col("year") * 4 + F.col("quarter_num")).alias("quarter"),
+        (F.col("value") * 1.1).alias("value"),
+    )
+    folder = f"{shared_folder(spark).rstrip('/')}/facts-{uuid.uuid4().hex}"
+    writers.write_facts(spark, old, folder, "old")
+    writers.write_facts(spark, fresh, folder, "fresh")
+    return publish(commits.read_table(spark, folder), 1)
+
+
 def facts_pivot(spark, d):
     return publish(writers.facts_to_wide(V.facts(spark, d), V.quarter_labels(spark, d)), 1)
 
@@ -262,6 +297,17 @@ def label_normalize(spark, d):
 
 SERIES_COLS = f"product_id, {day()} AS week_end"
 
+TWO_HEADERS = f"""WITH {WQ}, cal AS (SELECT DISTINCT week_end, quarter, week_label FROM wq), ids AS (SELECT DISTINCT product_id FROM wq)
+SELECT product_id, 'Available Capacity' AS attribute, cal.quarter, cal.week_label AS label,
+       {big("datediff('day', (SELECT min(week_end) FROM cal), cal.week_end) // 7 + 1")} AS position, {r('quantity * 5', 1)} AS value
+FROM ids CROSS JOIN cal LEFT JOIN wq USING (product_id, week_end)"""
+
+FACTS_UPSERT = f"""WITH {FACTS}, fresh AS (
+  SELECT product_id, attribute, 'Q' || ((qi + 1) % 4 + 1) || ' ' || lpad(CAST(((qi + 1) // 4) % 100 AS VARCHAR), 2, '0') AS quarter, value * 1.1 AS value
+  FROM facts WHERE attribute = 'EffectiveDemand')
+SELECT product_id, attribute, quarter, {r('coalesce(n.value, o.value)', 1)} AS value
+FROM facts o FULL OUTER JOIN fresh n USING (product_id, attribute, quarter)"""
+
 QUERIES = {
     "clean_numeric": (
         clean_numeric,
@@ -271,27 +317,16 @@ QUERIES = {
         unpivot_quarters,
         f"WITH {UNPIVOT_CTE} SELECT product_id, 'EffectiveDemand' AS attribute, quarter, format('{{:,}}', CAST(demand AS BIGINT)) AS value FROM cells",
     ),
-    "two_level_header": (
-        two_level_header,
-        f"""WITH {WQ}, cal AS (SELECT DISTINCT week_end, quarter, week_label FROM wq), ids AS (SELECT DISTINCT product_id FROM wq)
-SELECT product_id, 'Available Capacity' AS attribute, cal.quarter, cal.week_label AS label,
-       {big("datediff('day', (SELECT min(week_end) FROM cal), cal.week_end) // 7 + 1")} AS position, {r('quantity * 5', 1)} AS value
-FROM ids CROSS JOIN cal LEFT JOIN wq USING (product_id, week_end)""",
-    ),
+    "two_level_header": (two_level_header, TWO_HEADERS),
+    "two_header_files": (two_header_files, TWO_HEADERS),
     "plan_upsert": (
         plan_upsert,
         f"""WITH {WQ} SELECT quarter, week_label, product_id,
   CASE WHEN qi % 4 = 3 THEN {r('quantity * 5 * 0.9', 2)} ELSE {r('quantity * 5', 2)} END AS wafers
 FROM wq WHERE qi % 4 <> 3 OR week_seq <= 13""",
     ),
-    "facts_upsert": (
-        facts_upsert,
-        f"""WITH {FACTS}, fresh AS (
-  SELECT product_id, attribute, 'Q' || ((qi + 1) % 4 + 1) || ' ' || lpad(CAST(((qi + 1) // 4) % 100 AS VARCHAR), 2, '0') AS quarter, value * 1.1 AS value
-  FROM facts WHERE attribute = 'EffectiveDemand')
-SELECT product_id, attribute, quarter, {r('coalesce(n.value, o.value)', 1)} AS value
-FROM facts o FULL OUTER JOIN fresh n USING (product_id, attribute, quarter)""",
-    ),
+    "facts_upsert": (facts_upsert, FACTS_UPSERT),
+    "stored_facts": (stored_facts, FACTS_UPSERT),
     "facts_pivot": (
         facts_pivot,
         f"WITH {FACTS} SELECT product_id, attribute, "

@@ -75,10 +75,11 @@ def dedup_keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     """One row per key, the last by `order`.
 
     Runs as an aggregate, not a ranking window, so duplicates shrink before the shuffle and a
-    key with very many copies never sits whole in one task.
+    key with very many copies never sits whole in one task. Null comes before every value of an order column.
     """
     rest = [c for c in df.columns if c not in keys]
-    latest = df.groupBy(*keys).agg(last_by(F.struct(*rest), *order).alias("_row"))
+    # The struct is never null itself, so a key whose copies all lack the order column keeps its row.
+    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 

@@ -345,7 +345,10 @@ def _trained(vectors: DataFrame, params: TreeParams) -> GBTRegressionModel:
 def _fit(setup: Setup, params: Mapping[str, TreeParams]) -> dict[str, GBTRegressionModel]:
     """The pooled model of each group that has complete rows."""
     vectors = _vectors(setup)
-    return {group: _trained(vectors[group], p) for group, p in params.items() if group in vectors}
+    wanted = {group: p for group, p in params.items() if group in vectors}
+    # Side by side: a fit is many small jobs one after another.
+    with ThreadPoolExecutor(max(1, len(wanted))) as pool:
+        return dict(zip(wanted, pool.map(lambda group: _trained(vectors[group], wanted[group]), wanted)))
 
 
 def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:

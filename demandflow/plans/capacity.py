@@ -16,9 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandflow.operators.lookups import complete_quarters, facts_by_quarter, previous_quarter_balance, unique_priorities
@@ -44,6 +43,80 @@ class PlanLimits:
         return int(self.max_decrease // self.lot)
 
 
+@dataclass(frozen=True)
+class QuarterLimits:
+    """The same as columns, for limits that change from quarter to quarter."""
+
+    lot: Column
+    min_lots: Column
+    ramp_lots: Column
+    lo: Column
+    hi: Column
+
+    @staticmethod
+    def of(quarter: Column) -> QuarterLimits:
+        return QuarterLimits(*(quarter[name] for name in ("lot", "min_lots", "ramp_lots", "lo", "hi")))
+
+
+#: Quarters planned with a band; from then on the excess has to be exactly 0.
+BAND_QUARTERS = 34
+#: Quarters of a bucket in the join of quarters with limits.
+LIMIT_BUCKET = 8
+
+
+def with_limits(
+    packed: DataFrame, table: DataFrame, default: PlanLimits = PlanLimits(), exact_after: int | None = BAND_QUARTERS
+) -> DataFrame:
+    """Add `limits`, a struct, to packed quarters.
+
+    `table`: product_id (null for all products), from_index and until_index (quarter indexes, the latter excluded and
+    null for no end), lot, min_week, max_decrease, lo, hi, of which a null means the default's. Of several
+    intervals that hold a quarter a product's own goes before a common one, then the latest begun, then the
+    smallest values; without any the default holds. After `exact_after` quarters from the table's first one the
+    band is [0, 0].
+
+    An interval meets a quarter by bucket, not by comparing all pairs: it is repeated once for each bucket that
+    it touches between the first and the last planned quarter.
+    """
+    span = packed.agg(F.min("quarter_index").alias("first"), F.max("quarter_index").alias("last")).first()
+    first, last = span["first"] or 0, span["last"] or 0
+    start = F.greatest(F.col("from_index"), F.lit(first))
+    end = F.least(F.coalesce(F.col("until_index") - 1, F.lit(last)), F.lit(last))
+    usual = {"lot": default.lot, "min_week": default.min_week, "max_decrease": default.max_decrease, "lo": default.lo, "hi": default.hi}
+    kinds = {"lot": "int"}
+    values = [F.coalesce(F.col(c), F.lit(v)).cast(kinds.get(c, "double")).alias(c) for c, v in usual.items()]
+    buckets = F.explode(F.sequence(F.floor(start / LIMIT_BUCKET).cast("int"), F.floor(end / LIMIT_BUCKET).cast("int")))
+    spans = table.where(start <= end).select(
+        F.col("product_id").alias("_product"), F.col("from_index").alias("_from"), end.alias("_to"), F.struct(*values).alias("_values"), buckets.alias("_bucket")
+    )
+    quarter = packed.select("product_id", F.col("quarter_index").cast("int").alias("quarter_index")).distinct()
+    quarter = quarter.withColumn("_bucket", F.floor(F.col("quarter_index") / LIMIT_BUCKET).cast("int"))
+    held = (F.col("quarter_index") >= F.col("_from")) & (F.col("quarter_index") <= F.col("_to"))
+    own = quarter.join(spans.where("_product is not null"), (F.col("product_id") == F.col("_product")) & (quarter["_bucket"] == spans["_bucket"])).where(held)
+    common = quarter.join(spans.where("_product is null"), quarter["_bucket"] == spans["_bucket"]).where(held)
+    rank = F.struct((F.col("_product").isNull()).alias("common"), (-F.col("_from")).alias("age"), "_values")
+    found = own.select("product_id", "quarter_index", rank.alias("r")).unionByName(common.select("product_id", "quarter_index", rank.alias("r")))
+    chosen = found.groupBy(F.col("product_id").alias("_p"), F.col("quarter_index").alias("_q")).agg(F.min("r")["_values"].alias("_v"))
+    joined = packed.join(chosen, (packed["product_id"] == F.col("_p")) & (packed["quarter_index"] == F.col("_q")), "left")
+    v = F.coalesce(F.col("_v"), F.struct(*[F.lit(x).cast(kinds.get(c, "double")).alias(c) for c, x in usual.items()]))
+    exact = F.lit(False) if exact_after is None else F.col("quarter_index") >= first + exact_after
+    limits = F.struct(
+        v["lot"].alias("lot"),
+        F.ceil(v["min_week"] / v["lot"]).cast("long").alias("min_lots"),
+        F.floor(v["max_decrease"] / v["lot"]).cast("long").alias("ramp_lots"),
+        F.when(exact, 0.0).otherwise(v["lo"]).alias("lo"),
+        F.when(exact, 0.0).otherwise(v["hi"]).alias("hi"),
+    )
+    return joined.withColumn("limits", limits).select(*packed.columns, "limits")
+
+
+def _limited(packed: DataFrame, limits: PlanLimits | DataFrame) -> tuple[DataFrame, Callable[[Column | None], PlanLimits | QuarterLimits]]:
+    """(packed quarters, limits of a quarter given its struct, or of a row's columns given None)."""
+    if isinstance(limits, PlanLimits):
+        return packed, lambda q: limits
+    return with_limits(packed, limits), lambda q: QuarterLimits.of(F.col("limits") if q is None else q["limits"])
+
+
 def plan_inputs(facts: DataFrame, density: DataFrame, yields: DataFrame, capacity: DataFrame) -> DataFrame:
     """One row per product, quarter and week with everything the plan needs.
 
@@ -95,11 +168,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _total(b: Column, lots: Column, lot: int) -> Column:
+def _total(b: Column, lots: Column, lot: int | Column) -> Column:
     return F.aggregate(F.zip_with(b, lots, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) * lot
 
 
-def largest_lots(cap: Column, seqs: Column, limits: PlanLimits) -> Column:
+def largest_lots(cap: Column, seqs: Column, limits: PlanLimits | QuarterLimits) -> Column:
     """Lots per week of the largest plan within capacity and ramp, from the last week back.
 
     `seqs` numbers the weeks: over a missing week the plan may drop by two weeks' decrease.
@@ -124,7 +197,7 @@ def _raised(leftover: Column) -> Column:
     return F.zip_with("cap", "seqs", lambda c, s: c + F.coalesce(F.try_element_at(leftover, s), F.lit(0.0)))
 
 
-def cut_to_band(b: Column, largest: Column, lo: Column, hi: Column, limits: PlanLimits) -> Column:
+def cut_to_band(b: Column, largest: Column, lo: Column, hi: Column, limits: PlanLimits | QuarterLimits) -> Column:
     """Plan whose supply lies in [lo, hi]: struct(feasible, lots).
 
     `lots` is null when even the least plan is above, or the largest one below, the band.
@@ -190,7 +263,7 @@ def cut_to_band(b: Column, largest: Column, lo: Column, hi: Column, limits: Plan
     )
 
 
-def plan_packed(packed: DataFrame, limits: PlanLimits) -> DataFrame:
+def plan_packed(packed: DataFrame, limits: PlanLimits | QuarterLimits) -> DataFrame:
     """Add `feasible`, `band_too_narrow` and `wafers` (array) to packed quarters.
 
     Without a plan the wafers are the available capacity. A band narrower than the largest
@@ -231,9 +304,13 @@ def unpack_plan(planned: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def capacity_plan(inputs: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame:
-    """Weekly wafers of every product and quarter, each quarter from its given opening stock."""
-    return unpack_plan(plan_packed(pack_quarters(inputs), limits))
+def capacity_plan(inputs: DataFrame, limits: PlanLimits | DataFrame = PlanLimits()) -> DataFrame:
+    """Weekly wafers of every product and quarter, each quarter from its given opening stock.
+
+    `limits` may be a table as for `with_limits`.
+    """
+    packed, of = _limited(pack_quarters(inputs), limits)
+    return unpack_plan(plan_packed(packed, of(None)))
 
 
 def yielded_supply(plan: DataFrame) -> DataFrame:
@@ -291,42 +368,49 @@ _ROLLED = (
 )
 
 
-def _roll(packed: DataFrame, limits: PlanLimits, *keys: str, rescue: bool) -> DataFrame:
-    """Fold the packed quarters of each product in order, carrying the balance along.
+def _quarter_fields(packed: DataFrame) -> list[str]:
+    fields = ["quarter_index", "quarter", "safety_stock", "demand", "opening", "seqs", "labels", "b", "cap", "u"]
+    return [*fields, "limits"] if "limits" in packed.columns else fields
+
+
+def _chains(packed: DataFrame, of, *keys: str) -> DataFrame:
+    """One row per product: its quarters in order, with the largest plan of each."""
+    ready = packed.withColumn("u", largest_lots(F.col("cap"), F.col("seqs"), of(None)))
+    quarters = F.array_sort(F.collect_list(F.struct(*_quarter_fields(packed))))
+    return ready.groupBy("product_id", *keys).agg(quarters.alias("quarters"))
+
 
-    With `rescue`, `spare` (map by week number, or null) is what a donor leaves per week; it is added to the
-    capacity of a quarter that has no plan otherwise. The output's own `spare` is what the first plan of the
+def _fold(quarters: Column, of, spares: Column | None = None) -> Column:
+    """The quarters of a product planned in order, carrying the balance along.
+
+    `spares` (map by quarter of maps by week number) is what a donor leaves; it is added to the capacity
+    of a quarter that has no plan otherwise. The output's own `spare` is what the first plan of the
     quarter leaves, all 0 without one.
     """
-    ready = packed.withColumn("u", largest_lots(F.col("cap"), F.col("seqs"), limits))
-    fields = ["quarter_index", "quarter", "safety_stock", "demand", "opening", "seqs", "labels", "b", "cap", "u"]
-    if rescue:
-        raised = _raised(F.col("spare"))
-        ready = ready.withColumn("cap2", F.when(F.col("spare").isNotNull(), raised)).withColumn(
-            "u2", largest_lots(F.col("cap2"), F.col("seqs"), limits)
-        )
-        fields += ["cap2", "u2"]
-    chain = ready.groupBy("product_id", *keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("quarters"))
-
-    def in_wafers(lots: Column) -> Column:
-        return F.transform(lots, lambda y: (y * limits.lot).cast("double"))
 
     def step(acc: Column, q: Column) -> Column:
+        limits = of(q)
         need = q["safety_stock"] + q["demand"] - acc["balance"]
-        first = cut_to_band(q["b"], q["u"], need + limits.lo, need + limits.hi, limits)
+        lo, hi = need + limits.lo, need + limits.hi
+        in_wafers = lambda lots: F.transform(lots, lambda y: (y * limits.lot).cast("double"))
 
         def retry(p: Column) -> Column:
+            spare = F.try_element_at(spares, q["quarter"])
+            raised = F.zip_with(q["cap"], q["seqs"], lambda c, s: c + F.coalesce(F.try_element_at(spare, s), F.lit(0.0)))
             again = F.when(
-                ~p["feasible"] & q["cap2"].isNotNull(),
-                cut_to_band(q["b"], q["u2"], need + limits.lo, need + limits.hi, limits),
+                ~p["feasible"] & spare.isNotNull(),
+                _let(
+                    raised,
+                    lambda cap: F.struct(cap.alias("cap"), cut_to_band(q["b"], largest_lots(cap, q["seqs"], limits), lo, hi, limits).alias("plan")),
+                ),
             )
             return _let(
                 again,
                 lambda r: settle(
                     p["feasible"],
-                    F.coalesce(r["feasible"], F.lit(False)),
+                    F.coalesce(r["plan"]["feasible"], F.lit(False)),
                     in_wafers(p["lots"]),
-                    F.coalesce(in_wafers(r["lots"]), q["cap2"], q["cap"]),
+                    F.coalesce(in_wafers(r["plan"]["lots"]), r["cap"], q["cap"]),
                 ),
             )
 
@@ -350,58 +434,68 @@ def _roll(packed: DataFrame, limits: PlanLimits, *keys: str, rescue: bool) -> Da
             ).cast(_ROLLED)
             return F.struct(balance.alias("balance"), F.concat(acc["rows"], F.array(row)).alias("rows"))
 
-        if not rescue:
+        first = cut_to_band(q["b"], q["u"], lo, hi, limits)
+        if spares is None:
             return _let(first, lambda p: settle(p["feasible"], F.lit(False), in_wafers(p["lots"]), q["cap"]))
         return _let(first, retry)
 
     start = F.struct(
-        F.get("quarters", F.lit(0))["opening"].alias("balance"), F.array().cast(f"array<{_ROLLED}>").alias("rows")
-    )
-    rolled = chain.select(
-        "product_id", *keys, F.explode_outer(F.aggregate("quarters", start, step, lambda acc: acc["rows"])).alias("r")
+        F.get(quarters, F.lit(0))["opening"].alias("balance"), F.array().cast(f"array<{_ROLLED}>").alias("rows")
     )
-    return rolled.select("product_id", *keys, "r.*")
+    return F.aggregate(quarters, start, step, lambda acc: acc["rows"])
 
 
-def roll_plan(inputs: DataFrame, limits: PlanLimits = PlanLimits()) -> DataFrame:
+def roll_plan(inputs: DataFrame, limits: PlanLimits | DataFrame = PlanLimits()) -> DataFrame:
     """Plan a product's quarters in order; the closing balance of one opens the next.
 
     `opening` counts for a product's first quarter only. Products run in parallel; within one,
-    the fold walks its quarters, of which the calendar bounds the number.
+    the fold walks its quarters, of which the calendar bounds the number. `limits` may be a table as for
+    `with_limits`; each quarter is then planned within its own.
     """
-    packed = pack_quarters(inputs)
-    return _roll(packed, limits, rescue=False).drop("spare", "rescued")
+    packed, of = _limited(pack_quarters(inputs), limits)
+    rolled = _chains(packed, of).select("product_id", F.explode_outer(_fold(F.col("quarters"), of)).alias("r"))
+    return rolled.select("product_id", "r.*").drop("spare", "rescued")
 
 
-def production_plan(
-    inputs: DataFrame, priority: DataFrame, limits: PlanLimits = PlanLimits(), most_levels: int = 100
-) -> DataFrame:
-    """Rolling plan of whole production lines with rescue.
+def production_plan(inputs: DataFrame, priority: DataFrame, limits: PlanLimits | DataFrame = PlanLimits()) -> DataFrame:
+    """Rolling plan of whole production lines with rescue, in one job.
 
     `priority`: product_id, line, priority (any whole numbers, each once within a line). A quarter
     without a plan is planned again with what the line's product of the next smaller number left
-    unused that quarter; a product without priority has no donor. All lines advance together, one
-    pass per priority; a pass is checkpointed because the next one reads it and the result keeps
-    it. More than `most_levels` different priorities are an error: each costs a job.
+    unused that quarter; a product without priority has no donor.
+
+    A number missing in a line ends the dependence, so consecutive numbers are a chain of their own.
+    A chain is folded twice over: its products by priority, with what the last one left per quarter and week
+    as the state, and a product's quarters in order. Chains and products without priority run in
+    parallel; one chain is as long as its line has products, each with the calendar's quarters.
     """
     ranked = inputs.join(unique_priorities(priority), "product_id", "left")
-    packed = cut_lineage(pack_quarters(ranked, "line", "priority"))
-    levels = [r[0] for r in packed.select("priority").distinct().limit(most_levels + 2).collect()]
-    if len(levels) > most_levels + 1:
-        raise ValueError(f"more than {most_levels} different priorities")
-    done: dict[int | None, DataFrame] = {}
-    for level in sorted(levels, key=lambda x: (x is not None, x or 0)):
-        mine = packed.where(F.col("priority").eqNullSafe(F.lit(level)))
-        above = done.get(level - 1) if level is not None else None
-        if above is not None:
-            donor = above.select(
-                F.col("line").alias("_line"), F.col("quarter").alias("_quarter"), F.map_from_arrays("seqs", "spare").alias("spare")
+    packed, of = _limited(pack_quarters(ranked, "line", "priority"), limits)
+    products = cut_lineage(_chains(packed, of, "line", "priority"))
+    alone = products.where(F.col("priority").isNull())
+    alone = alone.select("product_id", "line", "priority", F.explode_outer(_fold(F.col("quarters"), of)).alias("r"))
+    place = F.row_number().over(Window.partitionBy("line").orderBy("priority"))
+    numbered = products.where(F.col("priority").isNotNull()).withColumn("_run", F.col("priority") - place)
+    member = F.struct("priority", "product_id", "quarters")
+    chained = numbered.groupBy("line", "_run").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    spares = "map<string,map<int,double>>"
+    planned = f"array<struct<product_id:string,priority:int,rows:array<{_ROLLED}>>>"
+
+    def product(acc: Column, member: Column) -> Column:
+        def booked(rows: Column) -> Column:
+            left = F.map_from_arrays(
+                F.transform(rows, lambda r: r["quarter"]), F.transform(rows, lambda r: F.map_from_arrays(r["seqs"], r["spare"]))
             )
-            mine = mine.join(donor, mine["line"].eqNullSafe(donor["_line"]) & (mine["quarter"] == donor["_quarter"]), "left")
-        done[level] = cut_lineage(_roll(mine, limits, "line", "priority", rescue=above is not None))
-    if not done:
-        return _roll(packed, limits, "line", "priority", rescue=False)
-    return reduce(DataFrame.unionByName, done.values())
+            done = F.struct(member["product_id"].cast("string").alias("product_id"), member["priority"].cast("int").alias("priority"), rows.alias("rows"))
+            return F.struct(left.cast(spares).alias("spares"), F.concat(acc["done"], F.array(done)).alias("done"))
+
+        return _let(_fold(member["quarters"], of, acc["spares"]), booked)
+
+    start = F.struct(F.create_map().cast(spares).alias("spares"), F.array().cast(planned).alias("done"))
+    folded = F.aggregate("members", start, product, lambda acc: acc["done"])
+    each = chained.select("line", F.explode_outer(folded).alias("m"))
+    chains = each.select("m.product_id", "line", "m.priority", F.explode_outer("m.rows").alias("r"))
+    return chains.select("product_id", "line", "priority", "r.*").unionByName(alone.select("product_id", "line", "priority", "r.*"))
 
 
 def rolled_weeks(rolled: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,21 +127,103 @@ def two_level_header_to_long(
     headers = {r[row_column]: r for r in top}
     if len(top) != 2 or set(headers) != {0, 1}:
         raise ValueError("the table needs exactly one header row 0 and one header row 1")
+    names = _week_columns({c: headers[0][c] for c in cells}, {c: headers[1][c] for c in cells})
+    return _weeks_long(table.where(F.col(row_column) >= 2), names, id_columns)
+
+
+def _week_columns(above: Mapping[str, str | None], below: Mapping[str, str | None]) -> dict[str, tuple[str, str]]:
+    """(quarter, week label) by column, from the cells of the two header rows."""
     names: dict[str, tuple[str, str]] = {}
     quarter = None
-    for cell in cells:
-        above, label = headers[0][cell], headers[1][cell]
-        quarter = above.strip() if above and above.strip() else quarter
-        if quarter is not None and label:
+    for cell in above:
+        quarter = above[cell].strip() if above[cell] and above[cell].strip() else quarter
+        label = below[cell]
+        if quarter is not None and label and label.strip():
             names[cell] = (quarter, label.strip())
+    return names
+
+
+def _weeks_long(body: DataFrame, names: Mapping[str, tuple[str, str]], id_columns: Sequence[str]) -> DataFrame:
     # One SQL expression: building hundreds of columns one by one costs more than the query.
     cells_sql = ", ".join(
         f"struct({_sql_text(q)} AS quarter, {_sql_text(label)} AS label, {position} AS position, `{cell}` AS raw)"
         for position, (cell, (q, label)) in enumerate(names.items(), start=1)
     )
     return (
-        table.where(F.col(row_column) >= 2)
-        .select(F.col(id_columns[0]).alias("product_id"), F.col(id_columns[1]).alias("attribute"), F.expr(f"inline(array({cells_sql}))"))
+        body.select(F.col(id_columns[0]).alias("product_id"), F.col(id_columns[1]).alias("attribute"), F.expr(f"inline(array({cells_sql}))"))
         .withColumn("value", parse_number(F.col("raw")))
         .drop("raw")
     )
+
+
+WEEKS_SCHEMA = "product_id string, attribute string, quarter string, label string, position int, value double"
+REJECTS_SCHEMA = "file string, line string, reason string"
+
+
+def read_two_header_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(long table, rejects) of CSV files whose first two lines are headers: quarter over week.
+
+    The first two lines of every file are found by their place: lines are numbered in order inside the block
+    at offset 0 of their file. They are the schema, the only lines that come to the driver (once, whatever the
+    number of files), and must be alike in all files. The other lines are parsed with it in one
+    narrow pass. A line with another number of cells than the headers, or without product, is kept
+    apart with the reason; blank lines are nothing. Cells cannot hold line ends.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min("id").alias("first"))
+    # Numbers are consecutive within a block; a table has far fewer files than lines.
+    placed = lines.join(F.broadcast(first), "file", "left").withColumn("row", F.when(F.col("block") == 0, F.col("id") - F.col("first")))
+    heads = placed.where("row < 2").groupBy("file").agg(F.max(F.when(F.col("row") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("row") == 1, F.col("value"))).alias("b"))
+    found = heads.select("a", "b").distinct().limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("the files have different header rows")
+    if not found or not found[0]["a"] or not found[0]["b"]:
+        raise ValueError("the table needs two header rows")
+    above, below = (next(csv.reader([text])) for text in found[0])
+    width = max(len(above), len(below))
+    columns = [f"c{i}" for i in range(width)]
+    cells = dict(zip(columns, above + [None] * width)), dict(zip(columns, below + [None] * width))
+    names = _week_columns(*({c: h[c] for c in columns[2:]} for h in cells))
+    schema = ", ".join([*(f"{c} string" for c in columns), "_bad string"])
+    body = placed.where("(row is null or row >= 2) and trim(value) <> ''").select(
+        "file", F.col("value").alias("line"), F.from_csv("value", schema, {"columnNameOfCorruptRecord": "_bad", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("cells")
+    )
+    reason = F.when(F.col("cells._bad").isNotNull(), "wrong number of cells").when(F.coalesce(F.col("cells.c0"), F.lit("")) == "", "no product")
+    judged = body.select("file", "line", reason.alias("reason"), "cells.*").drop("_bad")
+    rejects = judged.where("reason is not null").select("file", "line", "reason")
+    return _weeks_long(judged.where("reason is null"), names, columns[:2]), rejects
+
+
+def read_planning_folder(spark: SparkSession, folder: str, suffix: str = ".csv") -> tuple[dict[str, DataFrame], DataFrame]:
+    """({name: typed table}, rejects) of a folder with CSV files (or folders of them) named as the tables.
+
+    supply_demand: long facts; density: product_id, density; week_ratio: week, ratio; yield and capacity: two
+    header rows, long. `supply_demand` must be there. A missing ratio is the default one; the other
+    optional tables are empty where missing, so that joins with them find nothing.
+    """
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    paths = {}
+    for name in REQUIRED_TABLES + OPTIONAL_TABLES:
+        path = f"{folder.rstrip('/')}/{name}{suffix}"
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+            paths[name] = path
+    missing = [name for name in REQUIRED_TABLES if name not in paths]
+    if missing:
+        raise KeyError(f"missing tables: {', '.join(missing)}")
+    tables = {"supply_demand": read_quarterly_facts(spark, paths["supply_demand"])}
+    tables["density"] = density_long(spark.read.csv(paths["density"], header=True)) if "density" in paths else spark.createDataFrame([], "product_id string, density int")
+    if "week_ratio" in paths:
+        ratio = spark.read.csv(paths["week_ratio"], header=True).toDF("week", "ratio")
+        tables["week_ratio"] = ratio.select(parse_number(F.col("week")).cast("int").alias("week"), parse_number(F.col("ratio")).alias("ratio"))
+    else:
+        tables["week_ratio"] = default_week_ratio(spark)
+    rejects = spark.createDataFrame([], REJECTS_SCHEMA)
+    for name in ("yield", "capacity"):
+        if name in paths:
+            tables[name], bad = read_two_header_table(spark, paths[name])
+            rejects = rejects.unionByName(bad)
+        else:
+            tables[name] = spark.createDataFrame([], WEEKS_SCHEMA)
+    return tables, rejects

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demandflow.session import cut_lineage
+from demandflow.sources.commits import merge_table
 
 # Fixed values of the report's type column.
 HISTORY_TYPE = "Histórico"
@@ -45,29 +45,17 @@ def upsert_plan(target: DataFrame, new: DataFrame, keys: Sequence[str] = PLAN_KE
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def write_plan(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Upsert a plan on disk, kept as one folder per quarter.
+def write_plan(spark: SparkSession, new: DataFrame, path: str, run: str | None = None) -> bool:
+    """Upsert a plan on disk (read it by `commits.read_table`); False if `run` was written before.
 
-    Only the quarters present in `new` are read back and rewritten; the others stay as they
-    are. The merged rows are checkpointed first, because a job cannot overwrite the folders
-    it is reading. Only a path that is not there counts as a new plan; other errors surface.
+    Buckets of products that `new` does not touch stay as they are, and a failure leaves the old plan whole.
     """
-    merged = new
-    try:
-        target = spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        touched = target.join(new.select("quarter").distinct(), ["quarter"], "left_semi")
-        merged = cut_lineage(upsert_plan(touched, new))
-    (
-        merged.repartitionByRange("quarter", "product_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("quarter")
-        .parquet(path)
-    )
+    return merge_table(spark, path, new, upsert_plan, "product_id", run or uuid.uuid4().hex)
+
+
+def write_facts(spark: SparkSession, new: DataFrame, path: str, run: str | None = None) -> bool:
+    """Set facts on disk by key (read them by `commits.read_table`); False if `run` was written before."""
+    return merge_table(spark, path, new.select(*FACT_KEYS, "value"), upsert_facts, "product_id", run or uuid.uuid4().hex)
 
 
 def upsert_facts(facts: DataFrame, new: DataFrame, keys: Sequence[str] = FACT_KEYS) -> DataFrame:

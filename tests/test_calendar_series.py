@@ -134,3 +134,8 @@ def test_quarterly_series(spark):
     ]
     got = {(r["product_id"], r["quarter_index"]): r["demand"] for r in S.quarterly_series(facts(spark, rows)).collect()}
     assert got == {("A", 1995 * 4 + 1): 6.0, ("B", 1995 * 4): 0.0}
+
+
+def test_last_row_of_a_key_without_any_order(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("b", None, 2), ("b", 3, 4)], "k string, at int, v int")
+    assert sorted(map(tuple, S.dedup_keep_last(rows, ["k"], ["at"]).collect())) == [("a", None, 1), ("b", 3, 4)]

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import dataclasses
 import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from demandflow.operators.lookups import donor_leftover
 from demandflow.operators.windows import ramp_envelope
@@ -224,3 +226,84 @@ def test_ramp_envelope_and_donor_rows(spark):
     plan = spark.createDataFrame(rows, "product_id string, priority int, quarter string, week_seq int, capacity double, wafers double")
     raised = {(r["product_id"], r["week_seq"]): r["raised_capacity"] for r in donor_leftover(plan).collect()}
     assert raised == {("A", 1): 10.0, ("B", 1): 16.0, ("B", 2): 10.0}
+
+
+def test_a_thousand_priorities_are_one_chain(spark):
+    """A chain of 1,000 products equals the plan of its first ones, and gaps in the numbers end it."""
+    rng = random.Random(9)
+    limits = C.PlanLimits(min_week=10, max_decrease=15, lo=0.0, hi=60.0)
+    rows = [
+        w
+        for i in range(1000)
+        for q in range(2)
+        for w in weeks(f"P{i:04d}", [rng.randint(20, 45) for _ in range(3)], [1.5, 1.0, 2.0], sst=20, demand=rng.randint(90, 170), opening=15, quarter=f"Q{q + 1} 95", index=7980 + q)
+    ]
+    ranks = "product_id string, line int, priority int"
+    order = [(f"P{i:04d}", 0, i) for i in range(1000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (r["product_id"], r["quarter_index"])
+    whole = {key(r): r for r in C.production_plan(frame, spark.createDataFrame(order, ranks), limits).collect()}
+    assert len(whole) == 2000 and any(r["rescued"] for r in whole.values())
+    few = C.production_plan(frame.where("product_id < 'P0020'"), spark.createDataFrame(order[:20], ranks), limits).collect()
+    assert [whole[key(r)] for r in few] == few
+    # Without number 500 its successor has no donor; all before and all from there on are as if planned alone.
+    cut = {key(r): r for r in C.production_plan(frame, spark.createDataFrame(order[:500] + order[501:], ranks), limits).collect()}
+    later = C.production_plan(frame.where("product_id > 'P0500'"), spark.createDataFrame(order[501:], ranks), limits).collect()
+    assert [cut[key(r)] for r in later] == later
+    assert all(cut[k] == r for k, r in whole.items() if k[0] < "P0500")
+
+
+LIMITS = "product_id string, from_index int, until_index int, lot int, min_week double, max_decrease double, lo double, hi double"
+
+
+def test_limits_change_within_a_product(spark):
+    """Every quarter of the rolling plan equals that quarter planned alone with the limits that hold in it."""
+    rng = random.Random(3)
+    rows, given = [], {}
+    for p in ("A", "B"):
+        for q in range(12):
+            mine = weeks(p, [rng.randint(30, 60) for _ in range(4)], [1.5, 1.0, 2.0, 1.0], sst=20, demand=rng.randint(120, 200), opening=15, quarter=f"Q{q % 4 + 1} {95 + q // 4}", index=7980 + q)
+            rows += mine
+            given[p, q] = mine
+    default = C.PlanLimits(min_week=10, max_decrease=15, lo=0.0, hi=60.0)
+    table = [
+        ("A", 7982, 7985, 4, None, None, None, 30.0),
+        (None, 7984, None, None, 20.0, 40.0, None, None),
+        ("A", 7984, 7986, None, None, 5.0, 10.0, 50.0),
+        (None, 7000, 7981, None, None, None, None, 20.0),
+        ("B", 9000, None, 1, None, None, None, None),
+        ("B", 7986, 7986, 1, None, None, None, None),
+    ]
+
+    def plain(p, q):
+        index = 7980 + q
+        held = [r for r in table if r[0] in (None, p) and r[1] <= index and (r[2] is None or index < r[2])]
+        best = min(held, key=lambda r: (r[0] is None, -r[1]), default=None)
+        found = dict(zip(("lot", "min_week", "max_decrease", "lo", "hi"), best[3:])) if best else {}
+        out = dataclasses.replace(default, **{k: v for k, v in found.items() if v is not None})
+        return dataclasses.replace(out, lo=0.0, hi=0.0) if q >= 9 else out
+
+    packed = C.pack_quarters(spark.createDataFrame(rows, SCHEMA))
+    limited = C.with_limits(packed, spark.createDataFrame(table, LIMITS), default, exact_after=9)
+    got = {(r["product_id"], r["quarter_index"] - 7980): r["limits"] for r in limited.collect()}
+    assert len(got) == 24
+    for (p, q), r in got.items():
+        want = plain(p, q)
+        assert (r["lot"], r["min_lots"], r["ramp_lots"], r["lo"], r["hi"]) == (want.lot, want.min_lots, want.ramp_lots, want.lo, want.hi), (p, q)
+    of = lambda q: C.QuarterLimits.of(F.col("limits") if q is None else q["limits"])
+    rolled = C._chains(limited, of).select("product_id", F.explode_outer(C._fold(F.col("quarters"), of)).alias("r")).select("product_id", "r.*")
+    seen = {(r["product_id"], r["quarter_index"] - 7980): r for r in rolled.collect()}
+    feasible = set()
+    for p in ("A", "B"):
+        opening = 15.0
+        for q in range(12):
+            mine = [(*w[:9], opening) for w in given[p, q]]
+            plan = next(iter(plans(C.capacity_plan(spark.createDataFrame(mine, SCHEMA), plain(p, q))).values()))
+            row = seen[p, q]
+            assert row["wafers"] == [w["wafers"] for w in plan] and row["feasible"] == plan[0]["feasible"], (p, q)
+            feasible.add((q >= 9, row["feasible"]))
+            opening = row["balance"]
+    assert (False, True) in feasible
+    empty = C.with_limits(packed.limit(0), spark.createDataFrame(table, LIMITS))
+    assert empty.count() == 0
+    assert C.with_limits(packed, spark.createDataFrame([], LIMITS), default, None).select("limits.hi").distinct().collect()[0][0] == 60.0
