@@ -118,10 +118,11 @@ def schedule(spark, sources: DataFrame, p: MixParams = MixParams()) -> DataFrame
 
 
 def mix_rows(docs: DataFrame, p: MixParams = MixParams(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, key, size, source_size, target, taken, copies.
+    """One row per document: doc_id, key, size, source_size, target, taken, copies, first_slot, last_slot.
 
     `taken` counts the words that the scheduled blocks read from the document, `copies` how often its
-    first word is read. Null text has no words and is never taken; a null source is a source of its
+    first word is read, `first_slot` and `last_slot` are the schedule's places where that happens first and
+    last (null if it never does); reading documents by them gives the mix in order. Null text has no words and is never taken; a null source is a source of its
     own, the last. Equal (doc_id, text) rows are told apart only by their place in the stream. An
     empty table gives no rows. Other columns are not looked at.
     """
@@ -138,31 +139,40 @@ def mix_rows(docs: DataFrame, p: MixParams = MixParams(), doc_id: str = "doc_id"
     pieces = placed.where("size > 0").select("*", F.explode(F.sequence(first, last)).alias("block"))
     at = F.col("block") * b
     pieces = pieces.withColumn("lo", F.greatest(F.col("start"), at) - at).withColumn("hi", F.least(F.col("start") + F.col("size") - at, F.lit(b)))
-    slots = schedule(spark, sources, p).select("src", "block", "words")
+    slots = schedule(spark, sources, p).select("slot", "src", "block", "words")
     hit = pieces.join(slots, ["src", "block"], "left").fillna(0, ["words"])
     words = F.greatest(F.lit(0), F.least(F.col("hi"), F.col("words")) - F.col("lo"))
-    begun = ((F.col("start") >= F.col("block") * b) & (F.col("words") > F.col("lo"))).cast("long")
+    begun = (F.col("start") >= F.col("block") * b) & (F.col("words") > F.col("lo"))
     own = ["doc_id", "key", "size", "source_size", "target"]
-    done = hit.groupBy("src", "start", *own).agg(F.sum(words).alias("taken"), F.sum(begun).alias("copies"))
-    none = placed.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies"))
-    return done.select(*own, "taken", "copies").unionByName(none)
+    place = F.when(begun, F.col("slot"))
+    found = [F.sum(words).alias("taken"), F.sum(begun.cast("long")).alias("copies"), F.min(place).alias("first_slot"), F.max(place).alias("last_slot")]
+    done = hit.groupBy("src", "start", *own).agg(*found)
+    nothing = {"taken": 0, "copies": 0, "first_slot": None, "last_slot": None}
+    none = placed.where("size = 0").select(*own, *[F.lit(v).cast("long").alias(c) for c, v in nothing.items()])
+    return done.select(*own, *nothing).unionByName(none)
 
 
 def mixed_documents(docs: DataFrame, p: MixParams = MixParams(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The documents as the mix reads them: whole, as often as their first word is read.
+    """The documents as the mix reads them: whole, as often as their first word is read, in the schedule's order.
 
-    All columns are kept. Rows equal in doc_id and text share their reads evenly, rounded.
+    Rows lie in ranges of slots: every partition, and every prefix of them, is near the target shares. All columns
+    are kept. Rows equal in doc_id and text share their reads evenly, rounded, and spread over their slots.
     """
-    counts = mix_rows(docs, p, doc_id, text, source).groupBy("key").agg(F.sum("copies").alias("c"), F.count("*").alias("m"))
-    counts = counts.where("c > 0").select("key", F.round(F.col("c") / F.col("m")).cast("int").alias("n"))
+    ends = [F.min("first_slot").alias("first"), F.max("last_slot").alias("last")]
+    counts = mix_rows(docs, p, doc_id, text, source).groupBy("key").agg(F.sum("copies").alias("c"), F.count("*").alias("m"), *ends)
+    counts = counts.where("c > 0").select("key", F.round(F.col("c") / F.col("m")).cast("int").alias("n"), "first", "last")
     key = F.md5(F.concat_ws(":", F.lit(p.seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
     rows = docs.select(key.alias("key"), F.struct("*").alias("row")).join(counts.where("n > 0"), "key")
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    # The first read is at the first slot, the last one at the last; a source is read twice at most as a rule.
+    share = F.when(F.col("n") > 1, (F.col("read") - 1) / (F.col("n") - 1)).otherwise(0.0)
+    slot = F.col("first") + F.floor((F.col("last") - F.col("first")) * share)
+    read = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("read")).select("row", "key", slot.alias("slot"))
+    return read.repartitionByRange("slot", "key").sortWithinPartitions("slot", "key").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_rows(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_rows(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 SQL = r"""
@@ -183,14 +193,27 @@ l AS (
 f AS (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM f) * weight, most)) AS target FROM l),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0
-            ELSE take // source_size * size + greatest(0, least(size, take % source_size - start)) END AS BIGINT) AS taken
-FROM p
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (
+  SELECT source, take // source_size * ((source_size + 255) // 256) + (take % source_size + 255) // 256 AS need
+  FROM (SELECT source, source_size, CAST(floor(target + 0.5) AS BIGINT) AS take FROM t) WHERE take > 0),
+e AS (SELECT source, need, CAST(sum(need) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS until, CAST(sum(need) OVER () AS BIGINT) AS total FROM n),
+g AS (SELECT source, need, total, floor((until - need) * (4294967296.0::DOUBLE / total)) AS lo, floor(until * (4294967296.0::DOUBLE / total)) AS hi FROM e),
+u AS (SELECT i AS slot, ((i % 2147483648) * 2654435769) % 4294967296 AS u FROM (SELECT unnest(range((SELECT any_value(total) FROM e))) AS i)),
+w AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM u JOIN g ON u.u >= g.lo AND u.u < g.hi),
+c AS (SELECT source, count(*) AS got FROM w GROUP BY source),
+o AS (
+  SELECT slot, source, rank FROM w
+  UNION ALL SELECT total + late, source, late FROM (
+    SELECT g.source, g.total, unnest(range(coalesce(c.got, 0), g.need)) AS late FROM g LEFT JOIN c ON g.source IS NOT DISTINCT FROM c.source))
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       CAST(CASE WHEN p.source_size = 0 THEN 0
+            ELSE p.take // p.source_size * p.size + greatest(0, least(p.size, p.take % p.source_size - p.start)) END AS BIGINT) AS taken,
+       CAST(CASE WHEN p.size > 0 AND p.start < p.take THEN o.slot END AS BIGINT) AS first_slot
+FROM p LEFT JOIN o ON o.source IS NOT DISTINCT FROM p.source AND o.rank = p.start // 256
 """
 
 QUERIES = {"op7_source_mix": (query, SQL)}
