@@ -2,7 +2,8 @@
 
 An address expands into its host's suffixes times its path's prefixes. Each expression's SHA-256
 meets the rules' in an equi-join on a short prefix; the full digest confirms, and the longest
-fitting rule decides. Only distinct (host, directory) pairs are expanded.
+fitting rule decides. Only distinct (host, directory) pairs are expanded; a pair's pages get its rule in
+salted parts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from demandflow.llm.common import lower_ascii
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DEFAULT_VERDICT = "allow"
 PREFIX_HEX = 8
+#: Parts that a pair's pages are dealt to when they get their rule, so that a host with a third of all pages is no one task's.
+SALTS = 32
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -69,7 +72,9 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     met = e.join(rules, "prefix").where("e_digest = digest and e_host = rule_host and e_path = rule_path")
     order = F.struct(F.length("rule"), F.length("rule_host"), "rule")
     best = met.groupBy("suffix", "directory").agg(F.max_by(F.struct("rule", "rule_verdict"), order).alias("best"))
-    judged = p.join(best, ["suffix", "directory"], "left")
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SALTS)).cast("int"))
+    judged = p.join(best, ["suffix", "directory", "salt"], "left")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
