@@ -23,9 +23,8 @@ from demandflow.session import cut_lineage
 
 @dataclass(frozen=True)
 class LanguageParams:
-    sample_docs: int = 2_000  # labelled documents a language that the text model is fitted on, at most
-    languages: int = 200  # most frequent labels that count as languages
-    buckets: int = 1 << 15  # of trigram hashes
+    sample_docs: int = 2_000  # labelled documents a language that the text model is fitted on, about, or all if there are fewer
+    buckets: int = 1 << 15  # of trigram hashes; the model has a number for each bucket and label
     smoothing: float = 0.5
     temper: float = 0.15  # weight of a trigram's log-likelihood: neighbours overlap, so they tell less than apart
     most_text: float = 60.0  # nats the text may speak against a language, so that other evidence is heard
@@ -33,6 +32,7 @@ class LanguageParams:
     pseudo: float = 1.0  # rows added to each (language, declared or suffix value)
     least_posterior: float = 0.5
     broadcast_rows: int = 500_000  # rejected rows that are sent to all tasks at most
+    task_rows: int = 20_000  # rows a task judges, about: few bytes but long expressions
 
 
 @dataclass(frozen=True)
@@ -57,17 +57,18 @@ _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <=
 
 
 def fit_text_model(docs: DataFrame, p: LanguageParams = LanguageParams(), doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> TextModel:
-    """Trigram shares of each label, from its documents of smallest id hash. `languages` x `buckets` counts come to the driver."""
-    labels = [r[0] for r in docs.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(p.languages).collect()]
-    labels.sort()
-    place = F.xxhash64(F.col(doc_id))
-    named = docs.where(F.col(label).isin(labels)).select(F.col(label).alias("label"), place.alias("h"), F.col(text).alias("text"))
-    # The hash below which a label has enough documents; percentiles are sketches of bounded size.
-    counts = named.groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("h", F.array(*[F.lit(i / 100) for i in range(1, 101)]), 10_000).alias("q")).collect()
-    last = {r.label: r.q[min(99, max(0, math.ceil(100 * p.sample_docs / r.n) - 1))] for r in counts}
-    chosen = F.lit(False)
-    for name, h in last.items():
-        chosen = chosen | ((F.col("label") == name) & (F.col("h") <= h))
+    """Trigram shares of each label, from distinct documents whose hash is under the label's share.
+
+    Every label is a language. A label of n documents is fitted on each of them with a chance of `sample_docs` / n by
+    the hash of id and text, so on about `sample_docs` whatever n is; repeated rows count once. Labels
+    x `buckets` counts come to the driver.
+    """
+    sizes = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_of")).agg(F.count("*").alias("n"))
+    sizes = cut_lineage(sizes)
+    labels = sorted(r[0] for r in sizes.select("_of").collect())
+    place = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 52))
+    named = docs.select(F.col(label).alias("label"), place.alias("h"), F.col(text).alias("text")).join(F.broadcast(sizes), F.col("label") == F.col("_of"))
+    chosen = named.where(F.col("h") < F.lit(float(1 << 52)) * p.sample_docs / F.col("n")).groupBy("label", "h").agg(F.first("text").alias("text"))
     buckets = p.buckets
 
     def count(batches):
@@ -80,7 +81,7 @@ def fit_text_model(docs: DataFrame, p: LanguageParams = LanguageParams(), doc_id
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], ["label", "bucket", "n"])
 
-    rows = named.where(chosen).select("label", "text").mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = chosen.select("label", "text").mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     sums = np.full((buckets, max(1, len(labels))), p.smoothing)
     at = {name: i for i, name in enumerate(labels)}
     for r in rows:
@@ -126,7 +127,8 @@ def identify(rows: DataFrame, model: TextModel, p: LanguageParams = LanguagePara
     A row's own vote is taken out of the tables it meets. Text without letters speaks for no language; null evidence of
     a kind is a value of its own for markup and suffix, and the whole table's prior for the host. Not accepted: no
     letters, a text that fits the best language worse than chance, or a posterior under `least_posterior`. Without
-    labelled documents there is no language, and nothing is accepted.
+    labelled documents there is no language, and nothing is accepted. Of languages with equal posteriors the first by
+    code point is taken.
     """
     n = len(model.languages)
     e = text_evidence(rows, model)
@@ -135,6 +137,7 @@ def identify(rows: DataFrame, model: TextModel, p: LanguageParams = LanguagePara
     if n == 0:
         return e.drop("declared", "suffix", "domain", "text_logs", "vote", "trigrams", "fit").withColumns({"language": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "accepted": F.lit(False)})
     zeros = F.array(*[F.lit(0.0)] * n)
+    e = e.repartition(-(-max(1, e.count()) // p.task_rows))
     whole = _shares(e, [], n).withColumn("n", F.coalesce("n", zeros)).first()["n"]  # one number a language
     whole = [x or 0.0 for x in whole]
     own = F.transform(zeros, lambda _, i: F.when(F.col("vote") == i, 1.0).otherwise(0.0))
@@ -189,7 +192,7 @@ def accepted_documents(docs: DataFrame, p: LanguageParams = LanguageParams(), do
     bad = cut_lineage(identify(rows, model, p).where("not accepted").select(F.col("key").alias("_key")).distinct())
     if bad.count() <= p.broadcast_rows:  # longs; more of them are joined by a shuffle
         bad = F.broadcast(bad)
-    return docs.join(bad, key == F.col("_key"), "left_anti")
+    return docs.join(bad, key == bad["_key"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -99,3 +99,27 @@ def test_held_out_documents(spark):
     right = [r.lang == r.language and r.accepted for r in li.identify(rows, model).collect()]
     assert np.mean(right) > 0.97
     assert li.accepted_documents(docs).count() >= 0.99 * docs.count()
+
+
+def test_sample_is_bounded_and_no_label_is_left_out(spark):
+    rng = random.Random(8)
+    rows = [(i, f"the {i} thing", "en") for i in range(4000)] + [(None, "same", "de")] * 3000 + [(i, "au x", f"l{i:03d}") for i in range(300)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit_text_model(docs, li.LanguageParams(sample_docs=200, buckets=1 << 8))
+    assert len(model.languages) == 302
+    # Totals of trigrams tell how many documents of a label were read: en's are 13 or so each.
+    sums = lambda name: (np.exp(model.logs[:, model.languages.index(name)]).min() / 0.5) ** -1 - 128
+    assert 120 * 10 < sums("en") < 290 * 20
+    assert sums("de") < 10 and sums("l000") < 10
+
+
+def test_documents_with_clashing_columns_and_none(spark):
+    rng = random.Random(9)
+    good = [(i, t, "en", "s", "k", 1) for i, t in enumerate(texts(rng, 60, ["the", "ing", "er", "sh", "wh"]))]
+    rows = [*good, (100, "12 34", "en", "s", "k", 1), (101, None, None, None, None, 1), good[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _key string, n int")
+    kept = li.accepted_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([0, *range(60)])
+    assert li.accepted_documents(docs.limit(0)).count() == 0
