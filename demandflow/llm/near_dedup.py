@@ -5,11 +5,15 @@ but for a chance of `miss`, at least `least_shared` sketch values; so it is enou
 document under its rarest values, k - least_shared + 1 of them: boilerplate that many documents
 share stays out of the inverted lists. Documents of equal shingle sets are one node from the start.
 
-No list is expanded into pairs. The most typical member of each list is its pivot; every other
-member is compared with it on full sets. Members the pivot does not link may still be linked with
+A list of sketch values is not expanded into pairs. The most typical member of each list is its pivot; every
+other member is compared with it on full sets. Members the pivot does not link may still be linked with
 one another or with members it does; for such a pair the differences from the pivot overlap, and
 the same rarest-first listing on differences (exact, no sketch) finds it. What several thousand
-near copies have in common cancels out this way, and work stays in proportion to the members.
+near copies have in common cancels out this way. Within these second lists, pairs of members that are not yet
+joined meet, and are told apart by their differences or sketches before any set is read.
+
+`k=None` keeps whole sets in place of sketches: then no pair is missed by chance, at the cost of
+listing as many values as the sets are long.
 """
 
 from __future__ import annotations
@@ -26,14 +30,14 @@ from pyspark.sql import functions as F
 
 from demandflow.llm.common import slices
 from demandflow.llm.shingles import shingle_sets
-from demandflow.session import cut_lineage
+from demandflow.session import cut_lineage, temporary_cuts
 
 
 @dataclass(frozen=True)
 class NearParams:
     width: int = 5  # words of a shingle
     percent: int = 80  # linked: 100 * intersection >= percent * union
-    k: int = 32  # sketch values
+    k: int | None = 32  # sketch values; None: whole sets, exact
     miss: float = 1e-7  # chance that a pair at the threshold shares fewer sketch values than asked for
     part: int = 256  # members compared with one copy of their pivot
     carried: int = 256  # differences of up to so many hashes travel whole, and tell a pair's likeness exactly
@@ -42,9 +46,16 @@ class NearParams:
     def similarity(self) -> float:
         return self.percent / 100
 
+    @property
+    def held(self) -> int:
+        """Values a sketch holds at most."""
+        return 1 << 40 if self.k is None else self.k
+
     @property
     def least_shared(self) -> int:
-        """Largest m with P(Binomial(k, similarity) < m) <= miss."""
+        """Largest m with P(Binomial(k, similarity) < m) <= miss; of no use where sets are whole."""
+        if self.k is None:
+            return 1
         t, total = self.similarity, 0.0
         for m in range(self.k):
             total += math.comb(self.k, m) * t**m * (1 - t) ** (self.k - m)
@@ -54,7 +65,7 @@ class NearParams:
 
 
 def _sketches(docs: DataFrame, p: NearParams) -> DataFrame:
-    """(doc_id, node, n, sketch): node is a digest of the shingle set, null for an empty one."""
+    """(doc_id, h, node, n, sketch): h is a hash of the text, node a digest of the shingle set, null for an empty one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -64,9 +75,9 @@ def _sketches(docs: DataFrame, p: NearParams) -> DataFrame:
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sizes.append(len(s))
                 heads.append(s[: p.k])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "node", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "h", "node", "n", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, node binary, n long, sketch array<long>")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, h long, node binary, n long, sketch array<long>")
 
 
 def _sets(docs: DataFrame, p: NearParams) -> DataFrame:
@@ -161,17 +172,19 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     Null, empty and blank texts have no shingles and are alone. Documents with null doc_id take part
     and get their component's smallest id, null if there is none. Rows that repeat a doc_id are
     documents of their own, each with that id. An empty table gives no rows; other columns are not
-    looked at.
+    looked at. With sketches, a pair just at the threshold is missed with a chance of `miss`; with `k=None` none is.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sketched = cut_lineage(_sketches(d, p))
-    names = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    # A node's name is its smallest id, null only if none of its documents has one; h is that document's text.
+    first_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f")
+    names = sketched.where("node is not null").groupBy("node").agg(first_of).select("node", F.col("f.doc_id").alias("doc"), F.col("f.h").alias("h"))
     heads = sketched.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # Rarest-first lists of sketch values. A short set is its own sketch; a partner may have lost a few of its values.
     t = p.similarity
-    short = F.ceil(F.col("n") * t - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("n") / t + 1e-9) - p.k)
-    shared = F.when(F.col("n") < p.k, F.greatest(F.lit(1), short)).otherwise(F.lit(p.least_shared))
-    size = F.least(F.col("n"), F.lit(p.k))
+    short = F.ceil(F.col("n") * t - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("n") / t + 1e-9) - p.held)
+    shared = F.when(F.col("n") < p.held, F.greatest(F.lit(1), short)).otherwise(F.lit(p.least_shared))
+    size = F.least(F.col("n"), F.lit(p.held))
     entries = heads.select("node", F.explode("sketch").alias("v"), size.cast("int").alias("size"), (size - shared + 1).cast("int").alias("keep"))
     lists = cut_lineage(_rarest(entries, [], F.col("keep")))
     # The pivot: the member whose listed values are the commonest in all, the same one in each list of a group of copies.
@@ -180,9 +193,12 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     pivots = weighted.groupBy("v").agg(F.max(F.struct("w", "node")).alias("top"), F.count("*").alias("members")).where("members > 1").select("v", F.col("top.node").alias("pivot"), "members")
     pairs = lists.join(pivots, "v").where("node <> pivot").groupBy("pivot", "node").agg(F.max("members").alias("members"))
     pairs = cut_lineage(pairs)
-    wanted = pairs.select("node").union(pairs.select("pivot")).distinct().join(names, "node").select(F.col("node").alias("want"), F.col("doc").alias("_doc"))
-    texts = d.join(wanted, d["doc_id"].eqNullSafe(F.col("_doc"))).select("want", "text")
-    sets = cut_lineage(_sets(texts, p))
+    wanted = pairs.select("node").union(pairs.select("pivot")).distinct().join(names, "node").select(F.col("node").alias("want"), F.col("doc").alias("_doc"), F.col("h").alias("_h"))
+    # One document a node: by its id and text, and by its text alone where no copy has an id. So neither repeated ids nor missing ones meet all sets.
+    same_text = F.xxhash64(d["text"]) == F.col("_h")
+    texts = d.join(wanted.where("_doc is not null"), (d["doc_id"] == F.col("_doc")) & same_text).select("want", "text")
+    unnamed = d.where("doc_id is null").join(wanted.where("_doc is null"), same_text).groupBy("want").agg(F.first("text").alias("text"))
+    sets = cut_lineage(_sets(texts.unionByName(unnamed), p))
     first = cut_lineage(_compare(pairs.select("pivot", "node"), sets, p, differences=True))
     edges = [first.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))]
     # Pairs a pivot does not join: one of them unlinked. |x ^ y| <= tau (|x| + |y|) for a link, and x ^ y is what the differences differ in.
@@ -208,12 +224,12 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     apart = F.size("xd") + F.size("yd") - 2 * F.size(F.array_intersect("xd", "yd"))
     exact = 100 * (F.col("x_n") + F.col("y_n") - apart) >= p.percent * (F.col("x_n") + F.col("y_n") + apart)
     both = F.array_intersect("xs", "ys")
-    union_head = F.slice(F.array_sort(F.array_union("xs", "ys")), 1, p.k)
+    union_head = F.slice(F.array_sort(F.array_union("xs", "ys")), 1, min(p.held, (1 << 31) - 1))
     near = (F.size(both) >= p.least_shared) & (F.size(F.array_intersect(union_head, both)) >= p.least_shared)
     # A sketch of a set of at most k is the set; of a longer one it lacks n - k, which a shorter set may share.
-    most_shared = F.size(both) + F.greatest(F.lit(0), F.greatest("x_n", "y_n") - p.k)
+    most_shared = F.size(both) + F.greatest(F.lit(0), F.greatest("x_n", "y_n") - p.held)
     whole = (100 + p.percent) * most_shared >= p.percent * (F.col("x_n") + F.col("y_n"))
-    by_sketch = F.when(F.least("x_n", "y_n") <= p.k, whole).otherwise(near)
+    by_sketch = F.when(F.least("x_n", "y_n") <= p.held, whole).otherwise(near)
     fits = fits & F.when(F.col("xd").isNotNull() & F.col("yd").isNotNull(), exact).otherwise(by_sketch)
     again = x.join(y, ["pivot", "v"]).where(fits).select(F.col("xn").alias("pivot"), F.col("yn").alias("node")).distinct()
     again = cut_lineage(again.join(pairs, ["pivot", "node"], "left_anti").join(pairs.select(F.col("pivot").alias("node"), F.col("node").alias("pivot")), ["pivot", "node"], "left_anti"))
@@ -233,8 +249,9 @@ def one_of_each(docs: DataFrame, p: NearParams = NearParams(), doc_id: str = "do
     Rows without id cannot be named by the decision and stay. Rows of equal id and text are copies, of
     which one stays; rows that share an id but not the text stay or go together.
     """
-    judged = near_duplicates(docs, p, doc_id, text).where("kept and doc_id is not null")
-    kept = cut_lineage(judged.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")))
+    with temporary_cuts() as keep:
+        judged = near_duplicates(docs, p, doc_id, text).where("kept and doc_id is not null")
+        kept = keep(judged.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")))
     of = lambda condition: docs.join(kept.where(condition), docs[doc_id] == kept["_kept"], "left_semi")
     out = of("_n = 1").unionByName(docs.where(F.col(doc_id).isNull()))
     if kept.where("_n > 1").take(1):

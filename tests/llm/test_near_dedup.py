@@ -55,17 +55,33 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "width", "percent"), [(1, 3, 85), (2, 5, 80)])
-def test_components_equal_plain_comparison(spark, seed, width, percent):
+@pytest.mark.parametrize(("seed", "width", "percent", "k"), [(1, 3, 85, 32), (2, 5, 80, 32), (3, 3, 85, None)])
+def test_components_equal_plain_comparison(spark, seed, width, percent, k):
     docs = corpus(seed)
     d = spark.createDataFrame([(i, t, "x", 0) for i, t in docs], "doc_id long, text string, node string, n int")
     want = plain(docs, width, percent)
-    rows = nd.near_duplicates(d, nd.NearParams(width=width, percent=percent)).collect()
+    rows = nd.near_duplicates(d, nd.NearParams(width=width, percent=percent, k=k)).collect()
     assert len(rows) == len(docs)
     for r in rows:
         assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id), r.doc_id
 
 
+def test_repeated_and_missing_ids(spark):
+    """Rows that share an id, and rows without one, link by their own texts."""
+    docs = corpus(4)[:150]
+    want = plain(docs, 3, 85)
+    ids = {i: None if i % 3 == 0 else i % 5 for i, _ in docs}
+    root, smallest = {i: want[i][1] for i, _ in docs}, {}
+    for i, _ in docs:
+        if ids[i] is not None:
+            smallest[root[i]] = min(ids[i], smallest.get(root[i], 99))
+    rows = [(ids[i], t, i) for i, t in docs]
+    d = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    got = nd.near_duplicates(d, nd.NearParams(width=3, percent=85)).collect()
+    key = lambda x: str(x)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(((ids[i], want[i][0], smallest.get(root[i])) if want[i][0] else (ids[i], 0, ids[i]) for i, _ in docs), key=key)
+
+
 def test_kept_documents(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text, "a"), (1, text, "b"), (1, text, "b"), (None, text, "c"), (5, None, "d"), (None, "other words here", "e"), (7, "", "f")]
