@@ -65,7 +65,8 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: keeps partitions and their order, but also the size estimate of the plan it ends.
 
-    For a table that is read by partition; elsewhere, and in every loop, `cut_lineage`.
+    For a table that is read by partition, or whose rows hold long arrays, of which a parquet reader would decode
+    thousands at a time; elsewhere, and in every loop, `cut_lineage`.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
