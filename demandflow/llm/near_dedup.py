@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from demandflow.llm.common import slices
 from demandflow.llm.shingles import shingle_sets
-from demandflow.session import cut_lineage, temporary_cuts
+from demandflow.session import checkpoint, cut_lineage, temporary_cuts
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     looked at. With sketches, a pair just at the threshold is missed with a chance of `miss`; with `k=None` none is.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketched = cut_lineage(_sketches(d, p))
+    # Tables with long arrays are checkpointed as rows: a parquet reader would hold thousands of them decoded at a time.
+    sketched = (checkpoint if p.k is None else cut_lineage)(_sketches(d, p))
     # A node's name is its smallest id, null only if none of its documents has one; h is that document's text.
     first_of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("f")
     names = sketched.where("node is not null").groupBy("node").agg(first_of).select("node", F.col("f.doc_id").alias("doc"), F.col("f.h").alias("h"))
@@ -198,8 +199,8 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     same_text = F.xxhash64(d["text"]) == F.col("_h")
     texts = d.join(wanted.where("_doc is not null"), (d["doc_id"] == F.col("_doc")) & same_text).select("want", "text")
     unnamed = d.where("doc_id is null").join(wanted.where("_doc is null"), same_text).groupBy("want").agg(F.first("text").alias("text"))
-    sets = cut_lineage(_sets(texts.unionByName(unnamed), p))
-    first = cut_lineage(_compare(pairs.select("pivot", "node"), sets, p, differences=True))
+    sets = checkpoint(_sets(texts.unionByName(unnamed), p))
+    first = checkpoint(_compare(pairs.select("pivot", "node"), sets, p, differences=True))
     edges = [first.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))]
     # Pairs a pivot does not join: one of them unlinked. |x ^ y| <= tau (|x| + |y|) for a link, and x ^ y is what the differences differ in.
     rest = first.where("not linked").select("pivot").distinct()
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams(), doc_id: str =
     listed = rare.join(alike, ["pivot", "v"]).join(first.select("pivot", "node", "n", small), ["pivot", "node"]).join(heads.select("node", "sketch"), "node")
     # What the pivots already join needs no second link: only pairs of different roots are looked at.
     listed = listed.join(components(edges[0]), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    listed = cut_lineage(listed.select("pivot", "v", "node", "n", "root", "d", "sketch"))
+    listed = checkpoint(listed.select("pivot", "v", "node", "n", "root", "d", "sketch"))
     x = listed.toDF("pivot", "v", "xn", "x_n", "x_root", "xd", "xs")
     y = listed.toDF("pivot", "v", "yn", "y_n", "y_root", "yd", "ys")
     fits = (F.col("xn") < F.col("yn")) & (F.col("x_root") != F.col("y_root")) & (100 * F.least("x_n", "y_n") >= p.percent * F.greatest("x_n", "y_n"))
