@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contract import views as V
@@ -10,7 +12,9 @@ from contract.stats_queries import FLAG5, KEY, LEVEL, ROLLED, capped, rolled
 from contract.views import publish
 from demandflow.operators import inventory, series as S, stats
 from demandflow.plans import boosted, boundary, capacity, seasonal, smoothing, writeback
+from demandflow.session import shared_folder
 from demandflow.sources import readers, writers
+from demandflow.sources.weekly_store import read_weekly_store, write_weekly_store
 
 FLAGGED = ["Brand#5", "Brand#10", "Brand#15", "Brand#20", "Brand#25"]
 
@@ -27,6 +31,13 @@ def seasonal_forecast(spark, d):
     return publish(seasonal.seasonal_forecast(V.series(spark, d), 26, FLAGGED))
 
 
+def stored_forecast(spark, d):
+    """The same forecast of a series kept in buckets by product."""
+    name = f"weekly_{uuid.uuid4().hex[:12]}"
+    write_weekly_store(V.series(spark, d), name, f"{shared_folder(spark).rstrip('/')}/{name}", 8)
+    return publish(seasonal.seasonal_forecast(read_weekly_store(spark, name), 26, FLAGGED))
+
+
 def smoothing_forecast(spark, d):
     return publish(smoothing.smoothing_forecast(V.series(spark, d), 60))
 
@@ -416,3 +427,5 @@ UNION ALL SELECT product_id, quarter, {big('week_seq')}, {r('wafers')}, feasible
     "limits_plan": (limits_plan, None),
     "production_plan": (production_plan, None),
 }
+
+QUERIES["stored_forecast"] = (stored_forecast, QUERIES["seasonal_forecast"][1])
