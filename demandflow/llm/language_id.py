@@ -149,13 +149,14 @@ def identify(rows: DataFrame, model: TextModel, p: LanguageParams = LanguagePara
     def smoothed(counts: Column, above: Column) -> Column:
         return F.zip_with(counts, above, lambda x, a: (x + p.host_weight * a) / (total(counts) + p.host_weight))
 
-    # Hosts and values are looked up by equi-joins; counts by group are far fewer than rows, Spark measures which to ship.
+    # Hosts and values are looked up by equi-joins; counts by group are far fewer than rows. Written first, so that Spark
+    # knows which to ship before it would shuffle the rows by a key that most of them share.
     for key in ("declared", "suffix"):
-        table = _shares(e, [key], n).withColumnsRenamed({"n": f"n_{key}", key: f"_{key}"})
+        table = cut_lineage(_shares(e, [key], n)).withColumnsRenamed({"n": f"n_{key}", key: f"_{key}"})
         e = e.join(table, e[key].eqNullSafe(F.col(f"_{key}")), "left").drop(f"_{key}")
     values = {key: F.lit(float(e.select(key).distinct().count() + 1)) for key in ("declared", "suffix")}
-    domains = _shares(e.where("domain is not null"), ["domain"], n).withColumnRenamed("n", "n_domain")
-    hosts = _shares(e.where("host is not null"), ["host"], n).withColumnRenamed("n", "n_host")
+    domains = cut_lineage(_shares(e.where("domain is not null"), ["domain"], n)).withColumnRenamed("n", "n_domain")
+    hosts = cut_lineage(_shares(e.where("host is not null"), ["host"], n)).withColumnRenamed("n", "n_host")
     e = e.join(domains, "domain", "left").join(hosts, "host", "left")
     e = e.withColumn("prior", smoothed(less(F.col("n_domain")), root)).withColumn("prior", smoothed(less(F.col("n_host")), F.col("prior")))
     e = e.withColumn("top", top)
