@@ -28,6 +28,12 @@ class SearchParams:
     seed: int = 11
 
 
+#: Distances so much apart may be equal but for rounding.
+SLACK = 1e-6
+#: Candidates that are compared exactly at a time, about.
+PAIRS = 50_000
+
+
 class VantageTree:
     """Tree over unit vectors (rows of `points`)."""
 
@@ -45,11 +51,11 @@ class VantageTree:
         sides = [order[:half], order[half:]]
         return vantage, [(far[s].min(), far[s].max(), self._node(rows[s])) for s in sides]
 
-    def search(self, queries: np.ndarray, nearest: int, relax: float) -> np.ndarray:
-        """Rows of each query's `nearest` found, nearest first; -1 where there are fewer."""
+    def search(self, queries: np.ndarray, nearest: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
+        """(distance of the last, rows) of each query's `nearest` found, nearest first; infinite and -1 where there are fewer."""
         n = len(queries)
         best, found = np.full((n, nearest), np.inf), np.full((n, nearest), -1)
-        slack = 1e-6  # rounding must not hide a tie when halves are skipped
+        slack = SLACK
 
         def visit(node, asked: np.ndarray) -> None:
             if isinstance(node, np.ndarray):
@@ -73,7 +79,27 @@ class VantageTree:
 
         if n and len(self.points):
             visit(self.root, np.arange(n))
-        return found
+        return best[:, -1], found
+
+    def within(self, queries: np.ndarray, reach: np.ndarray, relax: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all points no farther than each query's reach, so that ties at it are whole."""
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+        def visit(node, asked: np.ndarray) -> None:
+            if isinstance(node, np.ndarray):
+                at, row = np.nonzero(chord(queries[asked] @ self.points[node].T) <= reach[asked, None])
+                pairs.append((asked[at], node[row]))
+                return
+            vantage, halves = node
+            far = chord(queries[asked] @ vantage)
+            for low, high, half in halves:
+                some = np.maximum(0, np.maximum(low - far, far - high)) * relax <= reach[asked]
+                if some.any():
+                    visit(half, asked[some])
+
+        if len(queries) and len(self.points):
+            visit(self.root, np.arange(len(queries)))
+        return tuple(np.concatenate(c) for c in zip(*pairs))
 
 
 def chord(cosine: np.ndarray) -> np.ndarray:
@@ -81,6 +107,19 @@ def chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
 
 
+def _runs(q: np.ndarray, many: np.ndarray):
+    """Ranges of whole queries (`q` is sorted) with about `PAIRS` candidates each."""
+    ends = np.append(np.flatnonzero(np.diff(q)) + 1, len(q)) if len(q) else np.zeros(0, np.int64)
+    lo, held = 0, 0
+    for first, end in zip(np.append(0, ends[:-1]), ends):
+        held += int(many[first:end].sum())
+        if held >= PAIRS:
+            yield lo, end
+            lo, held = end, 0
+    if lo < len(q):
+        yield lo, len(q)
+
+
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of corresponding rows in double precision; equal rows give equal results wherever they stand."""
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
@@ -118,19 +157,27 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, p: SearchParams =
             h, a = here[sizes[0] == size].sort_values("id", kind="stable"), ask[sizes[1] == size]
             x, y = np.stack(h["x"].to_numpy()), np.stack(a["x"].to_numpy())
             names, own = h["id"].to_numpy(np.int64), a["id"].to_numpy(np.int64)
-            # Equal vectors are one point of the tree: their order is by id alone, and a query's own vector is one point more.
-            _, first, point = np.unique(x, axis=0, return_index=True, return_inverse=True)
-            members = np.argsort(point.ravel(), kind="stable")
-            starts = np.searchsorted(point.ravel()[members], np.arange(len(first) + 1))
+            # Vectors of one direction are one point of the tree, and a query's own is one point more. All points up to
+            # the distance of the last one count, and all vectors of a point: the exact cosine and the id decide.
             unit = lambda m: (m := m / np.abs(m).max(axis=1, keepdims=True)) / np.sqrt((m * m).sum(axis=1, keepdims=True))
-            found = VantageTree(unit(x[first]), leaf_rows, seed).search(unit(y), nearest + 1, relax)
-            for q, points in enumerate(found):
-                # A point's first ids, one more for the query's own, which a repeated row may hold several times.
-                hit = [m[names[m] != own[q]][:nearest] for m in (members[starts[i] : starts[i + 1]] for i in points if i >= 0)]
-                rows = np.concatenate(hit) if hit else np.zeros(0, np.int64)
-                score = exact_cosine(np.broadcast_to(y[q], (len(rows), size)), x[rows])
-                best = np.lexsort((names[rows], -score))[:nearest]
-                out.append(pd.DataFrame({"query_id": own[q], "vec_id": names[rows][best], "score": score[best]}))
+            points, point = np.unique(unit(x), axis=0, return_inverse=True)
+            members = np.argsort(point.ravel(), kind="stable")
+            starts = np.searchsorted(point.ravel()[members], np.arange(len(points) + 1))
+            tree, asked = VantageTree(points, leaf_rows, seed), unit(y)
+            reach, _ = tree.search(asked, nearest + 1, relax)
+            q, at = tree.within(asked, reach + SLACK, relax)
+            q, at = (v[np.argsort(q, kind="stable")] for v in (q, at))
+            many = starts[at + 1] - starts[at]
+            for lo, hi in _runs(q, many):
+                n = many[lo:hi]
+                rows = members[np.repeat(starts[at[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                of = np.repeat(q[lo:hi], n)
+                of, rows = of[names[rows] != own[of]], rows[names[rows] != own[of]]
+                score = exact_cosine(y[of], x[rows])
+                best = np.lexsort((names[rows], -score, of))
+                place = np.arange(len(best)) - np.searchsorted(of[best], of[best])
+                best = best[place < nearest]
+                out.append(pd.DataFrame({"query_id": own[of[best]], "vec_id": names[rows[best]], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")

@@ -56,6 +56,22 @@ def test_recall_of_the_production_factor(spark):
     assert hits >= 0.95 * 5 * len(queries)
 
 
+def test_ties_by_direction_and_by_angle(spark):
+    """Multiples of one vector tie exactly, as do vectors at the same angle: the smaller ids win."""
+    rows = [(i, [2.0 ** ((7 * i) % 13 - 6), 2.0 ** ((7 * i) % 13 - 6)]) for i in range(1, 41)]
+    rows += [(100 + i, [0.0, float(1 + i % 3)]) for i in range(20)] + [(200 + i, [0.0, -float(1 + i % 3)]) for i in range(20)]
+    rows += [(0, [1.0, 1.0]), (0, [1.0, 1.0]), (50, [3.0, 0.0])]
+    d = spark.createDataFrame([(i, v, 0) for i, v in rows], SHAPE)
+    p = nn.SearchParams(relax=1.0, shard_rows=1000, leaf_rows=4)
+    got = found(nn.nearest_neighbours(d, d.where("vec_id in (0, 50, 200)"), p))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5]
+    assert [i for i, _ in got[200]][:5] == [201, 202, 203, 204, 205]
+    want = plain([(i, v) for i, v in rows if i], [50])[50]
+    every = sorted([(i, s) for i, s in plain(rows, [50], 99)[50]], key=lambda x: (-x[1], x[0]))[:5]
+    assert got[50][0][0] in (0, 1) and [s for _, s in got[50]] == [s for _, s in every]
+    assert len(want) == 5
+
+
 def test_few_and_no_rows(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0], 0), (7, [1.0, 1.0], 0)], SHAPE)
     assert [i for i, _ in found(nn.nearest_neighbours(d, d.where("vec_id = 0")))[0]] == [7]
