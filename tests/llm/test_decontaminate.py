@@ -35,8 +35,8 @@ def plain(docs, items, window=dc.WINDOW):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [16_000_000, 700])
-def test_equals_plain_search(spark, shard_bytes):
+@pytest.mark.parametrize("shard_bytes,held_bytes", [(16_000_000, 64_000_000), (700, 64_000_000), (700, 2_200)])
+def test_equals_plain_search(spark, shard_bytes, held_bytes):
     rng = random.Random(3)
     pick = lambda n: [rng.choice("abcdé") + rng.choice(["", "1", "x"]) for _ in range(n)]
     items = [(i, " ".join(pick(rng.choice([1, 3, 12, 13, 14, 30])) * rng.choice([1, 2]))) for i in range(60)]
@@ -51,7 +51,7 @@ def test_equals_plain_search(spark, shard_bytes):
         docs.append((i, "\n".join(parts)))
     d = spark.createDataFrame([(*x, "e") for x in docs], "doc_id long, text string, items string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    p = dc.DecontaminateParams(shard_bytes=shard_bytes)
+    p = dc.DecontaminateParams(shard_bytes=shard_bytes, held_bytes=held_bytes)
     want = plain(docs, items)
     rows = dc.contamination(d, b, p).collect()
     assert len(rows) == len(docs)
@@ -79,6 +79,21 @@ def test_short_random_windows(spark):
         assert (r.n_hit, r.items) == (len(hit), sorted(found))
 
 
+def test_repetitive_items_take_linear_time():
+    """Every state of one word said over and over links to the one a word shorter."""
+    import time
+
+    times = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        a = dc.Automaton.of([("x", [b"so"] * n)], 13)
+        spans, found = a.search([b"so"] * n + [b"no"] + [b"so"] * 12)
+        times.append(time.perf_counter() - start)
+        assert (spans, found) == ([(0, n)], {"x"})
+        assert len(a.items) == 1 and len(a.more) == 0
+    assert times[1] < 12 * times[0]
+
+
 def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in dc.contamination(d, b).collect()] == [(2, 0, 0, False)]
