@@ -3,8 +3,10 @@
 The `clustered` most frequent words are put into classes by the exchange algorithm: each word moves to
 the class that raises the likelihood of the class bigrams most. Sweeps run on Spark: words are dealt
 out, each task moves its words against the classes of the sweep before, and the table of classes (one
-number a clustered word) is renewed between sweeps. Other words belong to classes by their last letters,
-which a task can tell without a lookup, and the end of a text is a class of its own.
+number a clustered word) is renewed between sweeps. The further words that tasks are sent then join the class
+that raises the likelihood most, against these classes, in one pass over the texts. Words too rare to be
+sent belong to classes by their last letters, which a task can tell without a lookup; so does a sent word that
+no class gains from. The end of a text is a class of its own.
 
 P(text) is the product of P(class | class before) and P(word | class), both smoothed; a word not seen in
 training shares one place of its class with all such words.
@@ -38,7 +40,8 @@ class ClassParams:
     sweeps: int = 5
     parts: int = 12  # tasks a sweep's words are dealt out to
     moved_share: float = 0.5  # of a task's words that may move in one sweep, so that the parts do not all move at once
-    sent_words: int = 200_000  # most frequent words whose counts are sent to all tasks
+    sent_words: int = 200_000  # most frequent words whose counts and classes are sent to all tasks
+    placed: bool = True  # sent words that are not clustered join the class of greatest gain, else that of their last letters
     transition_weight: float = 20.0  # times a class's own share counts in what follows a class
     emission_add: float = 1.0
 
@@ -81,14 +84,11 @@ def _pairs(texts: DataFrame, clustered: dict[bytes, int], p: ClassParams) -> Dat
     units = base + p.spellings + 1
 
     def run(batches):
-        of = _Units(shared.value, base, p)
         held: list[np.ndarray] = []
         size = 0
-        for batch in slices(batches, "text"):
-            for raw in binary_texts(batch.column("text")).to_pylist():
-                u = np.fromiter(map(of.__getitem__, words_of(raw)), np.int64)
-                held.append(np.concatenate(([units - 1], u)) * units + np.concatenate((u, [units - 1])))
-                size += len(u)
+        for u in _unit_texts(batches, _Units(shared.value, base, p), units - 1):
+            held.append(u[:-1] * units + u[1:])
+            size += len(u)
             if size > 1_500_000:
                 yield summed(held)
                 held, size = [], 0
@@ -116,6 +116,13 @@ class _Units(dict):
         return unit
 
 
+def _unit_texts(batches: Iterator[pa.RecordBatch], of: _Units, end: int) -> Iterator[np.ndarray]:
+    """Units of each text's words, the end before and after them."""
+    for batch in slices(batches, "text"):
+        for raw in binary_texts(batch.column("text")).to_pylist():
+            yield np.concatenate(([end], np.fromiter(map(of.__getitem__, words_of(raw)), np.int64), [end]))
+
+
 def moved(words: list[int], follows: dict[int, tuple[np.ndarray, np.ndarray]], precedes: dict[int, tuple[np.ndarray, np.ndarray]], classes: np.ndarray, table: np.ndarray, k: int, most: int) -> list[tuple[int, int]]:
     """(word, new class) for up to `most` words that gain most by moving, against fixed classes of the others.
 
@@ -162,6 +169,12 @@ def class_table(pairs: np.ndarray, classes: np.ndarray, size: int) -> np.ndarray
     return np.bincount(classes[pairs[:, 0]] * size + classes[pairs[:, 1]], pairs[:, 2], size * size).reshape(size, size)
 
 
+def likelihood(t: np.ndarray) -> float:
+    """Of class bigrams, but for what no class changes."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1))
+
+
 def exchange(pairs: DataFrame, clustered: int, p: ClassParams) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(class of each unit, class bigram table, log-likelihood after each sweep).
 
@@ -187,10 +200,6 @@ def exchange(pairs: DataFrame, clustered: int, p: ClassParams) -> tuple[np.ndarr
             table[a, b] = n
         return table
 
-    def likelihood(t: np.ndarray) -> float:
-        f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
-        return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1))
-
     table = summed(classes)
     history = [likelihood(table)]
     for _ in range(p.sweeps if clustered > 1 else 0):
@@ -225,6 +234,116 @@ def exchange(pairs: DataFrame, clustered: int, p: ClassParams) -> tuple[np.ndarr
     return classes, table, history
 
 
+def gains(contexts: Iterator[np.ndarray], classes: np.ndarray, table: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+    """(word, class) for words that raise the likelihood by leaving their class for one of the first k.
+
+    Contexts are rows (word, code, n) in order of words: the class that follows, or `len(table)` and the class
+    before. Every word is weighed against `table` as it is, so the order of words does not matter. The part of
+    the likelihood that a word changes is in the cells of its contexts and in its class's two sums; what both sides
+    of a word do to one cell is weighed a side at a time.
+    """
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    size = len(table)
+    cells = np.concatenate([table.T, table])  # a row a code, a column a class
+    sums = table.sum(axis=1), table.sum(axis=0)
+
+    def judged(words: np.ndarray, gain: np.ndarray, follows: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int]]:
+        here = classes[words]
+        join, leave = gain[:, :k].copy(), gain[:, k].copy()
+        for total, n in zip(sums, (follows, before)):
+            join -= f(total[:k] + n[:, None]) - f(total[:k])
+            leave -= f(total[here]) - f(total[here] - n)
+        best = join.argmax(axis=1)
+        chosen = join[np.arange(len(words)), best] > leave + 1e-6
+        yield from zip(words[chosen].tolist(), best[chosen].tolist())
+
+    held = None  # figures of the last word so far, which may go on
+    for rows in contexts:
+        w, code, n = rows[:, 0], rows[:, 1], rows[:, 2].astype(float)
+        words, first = np.unique(w, return_index=True)
+        own = cells[code, classes[w]]
+        change = np.column_stack([f(cells[code, :k] + n[:, None]) - f(cells[code, :k]), f(own) - f(own - n)])
+        gain = np.add.reduceat(change, first)
+        follows, before = (np.add.reduceat(np.where(side, n, 0.0), first) for side in (code < size, code >= size))
+        if held is not None and held[0][0] == words[0]:
+            gain[0] += held[1][0]
+            follows[0] += held[2][0]
+            before[0] += held[3][0]
+        elif held is not None:
+            yield from judged(*held)
+        yield from judged(words[:-1], gain[:-1], follows[:-1], before[:-1])
+        held = words[-1:], gain[-1:], follows[-1:], before[-1:]
+    if held is not None:
+        yield from judged(*held)
+
+
+def place(texts: DataFrame, sent: dict[bytes, int], clustered: int, classes: np.ndarray, table: np.ndarray, p: ClassParams) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each sent word, class bigram table) once the words after the first `clustered` have joined classes.
+
+    `classes` are those so far of the sent words, by number. Two passes over the texts: one for what stands beside each
+    such word, one for the new table. Moves are taken only if they raise the likelihood together, else half of
+    them, and so on. What reaches the driver is bounded by the parameters.
+    """
+    spark = texts.sparkSession
+    base, size = len(sent), len(table)
+    k = size - p.spellings - 1
+    rest = np.arange(k, size)  # classes by last letters, and the end
+    shared = spark.sparkContext.broadcast((sent, np.concatenate([classes, rest])))
+    state = spark.sparkContext.broadcast((classes, table))
+
+    def contexts(batches):
+        names, of_unit = shared.value
+        held: list[np.ndarray] = []
+        held_size = 0
+        for u in _unit_texts(batches, _Units(names, base, p), len(of_unit) - 1):
+            at = np.flatnonzero((u >= clustered) & (u < base))
+            cls, code = of_unit[u], u[at] * (2 * size)
+            held += [code + cls[at + 1], code + size + cls[at - 1]]
+            held_size += 2 * len(at)
+            if held_size > 4_000_000:
+                yield summed(held)
+                held, held_size = [], 0
+        if held_size:
+            yield summed(held)
+
+    def summed(held):
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(code // (2 * size), pa.int32()), pa.array(code % (2 * size), pa.int32()), pa.array(n, pa.int64())], ["w", "code", "n"])
+
+    def judge(batches):
+        rows = (np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("w", "code", "n")]) for b in batches if b.num_rows)
+        new = list(gains(rows, *state.value, k))
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in new], pa.int32()), pa.array([c for _, c in new], pa.int32())], ["w", "c"])
+
+    # Dealt by word before they are added up, so that the sum and the words' rows need one shuffle.
+    beside = texts.mapInArrow(contexts, "w int, code int, n long").repartition("w").groupBy("w", "code").agg(F.sum("n").alias("n"))
+    moves = sorted((r.w, r.c) for r in beside.sortWithinPartitions("w").mapInArrow(judge, "w int, c int").collect())
+
+    def renewed(of_sent: np.ndarray) -> np.ndarray:
+        of_unit = spark.sparkContext.broadcast(np.concatenate([of_sent, rest]))
+
+        def run(batches):
+            names, total = shared.value[0], np.zeros(size * size, np.int64)
+            for u in _unit_texts(batches, _Units(names, base, p), base + p.spellings):
+                cls = of_unit.value[u]
+                np.add.at(total, cls[:-1] * size + cls[1:], 1)
+            cells = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], ["cell", "n"])
+
+        out = np.zeros(size * size)
+        for cell, n in texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+            out[cell] = n
+        return out.reshape(size, size)
+
+    while moves:
+        new = classes.copy()
+        new[[w for w, _ in moves]] = [c for _, c in moves]
+        if likelihood(t := renewed(new)) > likelihood(table):
+            return new, t
+        moves = moves[::2] if len(moves) > 1 else []
+    return classes, table
+
+
 @dataclass(frozen=True)
 class ClassModel:
     """What the tasks need: frequent words with class and count, log10 tables, and what the rest needs of its classes."""
@@ -272,27 +391,28 @@ def train(texts: DataFrame, p: ClassParams = ClassParams()) -> tuple[ClassModel,
     classes, table, history = exchange(pairs, len(clustered), p)
     k = min(p.classes, max(1, len(clustered)))
     size = k + p.spellings + 1
-    # Tokens and distinct words by class: clustered words from the list, others by their spelling.
-    tokens, words = np.zeros(size), np.zeros(size)
     of_sent = np.array([classes[i] if i < len(clustered) else k + spelling(word, p) for i, (word, _) in enumerate(top)], np.int64)
+    if p.placed and len(top) > len(clustered):
+        of_sent, table = place(texts, {word: i for i, (word, _) in enumerate(top)}, len(clustered), of_sent, table, p)
+        history.append(likelihood(table))
+    # Tokens and distinct words by class: sent words from the list, others by their spelling.
+    tokens, words = np.zeros(size), np.zeros(size)
     sent_counts = np.array([c for _, c in top], np.int64)
-    np.add.at(tokens, of_sent[: len(clustered)], sent_counts[: len(clustered)])
-    np.add.at(words, of_sent[: len(clustered)], 1)
-    names = set(clustered)
-    kept = counts.sparkSession.sparkContext.broadcast(names)
+    np.add.at(tokens, of_sent, sent_counts)
+    np.add.at(words, of_sent, 1)
 
     def spelled(batches):
         n, v = np.zeros(p.spellings), np.zeros(p.spellings)
         for b in batches:
             for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()):
-                if word not in kept.value:
-                    n[(at := spelling(word, p))] += c
-                    v[at] += 1
+                n[(at := spelling(word, p))] += c
+                v[at] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.spellings), pa.int32()), pa.array(n.astype(np.int64), pa.int64()), pa.array(v.astype(np.int64), pa.int64())], ["cls", "n", "v"])
 
-    rows = counts.mapInArrow(spelled, "cls int, n long, v long").groupBy("cls").agg(F.sum("n"), F.sum("v")).collect()
+    rows = counts.where(F.col("c") <= F.lit(least_sent)).mapInArrow(spelled, "cls int, n long, v long").groupBy("cls").agg(F.sum("n"), F.sum("v")).collect()
     for cls, n, v in rows:
-        tokens[k + cls], words[k + cls] = n, v
+        tokens[k + cls] += n
+        words[k + cls] += v
     tokens[-1], words[-1] = ends, 1 if ends else 0
     share = (tokens + 1) / (tokens.sum() + size)
     steps = np.log10((table + p.transition_weight * share) / (table.sum(axis=1, keepdims=True) + p.transition_weight))

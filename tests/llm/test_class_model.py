@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -42,7 +43,8 @@ def test_scores_equal_plain_computation(spark):
     top = sorted(c, key=lambda w: (-c[w], w))
     sent = model.words
     assert len(sent) <= P.sent_words and all(sent[w][1] == c[w] for w in sent)
-    cls = {w: sent[w][0] for w in top[: P.clustered]}
+    assert set(sent) >= set(top[: P.clustered])
+    cls = {w: at for w, (at, _) in sent.items()}
     k, end = model.clustered_classes, len(model.steps) - 1
     of = lambda w: cls[w] if w in cls else k + zlib.crc32(w[-2:]) % P.spellings
     class_n, class_v = Counter(), Counter()
@@ -111,6 +113,66 @@ def test_moves_equal_plain_likelihood():
             assert got == {}
 
 
+def value(t):
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1))
+
+
+@pytest.mark.parametrize("batch", [3, 1000])
+def test_gains_equal_plain_likelihood(batch):
+    """Neighbours are of other classes than those a word leaves or may join: then a move changes no cell twice."""
+    rng = np.random.default_rng(8)
+    k, size = 4, 9
+    pairs = [(a, b) for a in range(size) for b in range(size) for _ in range(rng.integers(0, 30))]
+    words = {w: [(int(rng.integers(k, size - 2)), int(rng.integers(k, size - 2))) for _ in range(rng.integers(1, 9))] for w in range(30)}
+    classes = np.full(30, size - 2)  # the class all leave; the last one is the end
+    table = np.zeros((size, size))
+    for a, b in pairs:
+        table[a, b] += 1
+    for ends in words.values():
+        for before, after in ends:
+            table[before, size - 2] += 1
+            table[size - 2, after] += 1
+    rows = Counter((w, code) for w, ends in words.items() for before, after in ends for code in (after, size + before))
+    rows = np.array([(w, code, n) for (w, code), n in sorted(rows.items())])
+    got = dict(cm.gains((rows[i : i + batch] for i in range(0, len(rows), batch)), classes, table, k))
+    for w, ends in words.items():
+        options = []
+        for to in range(k):
+            t = table.copy()
+            for before, after in ends:
+                t[size - 2, after] -= 1
+                t[to, after] += 1
+            for before, after in ends:
+                t[before, size - 2] -= 1
+                t[before, to] += 1
+            options.append(t)
+        values = [value(t) for t in options]
+        best = int(np.argmax(values))
+        assert got.get(w) == (best if values[best] > value(table) + 1e-6 else None)
+    assert 0 < len(got)
+
+
+def test_placed_words_follow_their_neighbours(spark):
+    """Words of one kind, too rare to be clustered, join the classes of the frequent words of that kind."""
+    rng = random.Random(6)
+    kinds = [([f"{k}{i}" for i in range(5)], [f"few-{k}-{i}" for i in range(12)]) for k in "abcd"]
+    texts = [" ".join(rng.choice(kinds[i % 4][rng.random() < 0.1]) for i in range(40)) for _ in range(300)]
+    p = cm.ClassParams(clustered=20, classes=4, spellings=5, parts=3, sent_words=200, sweeps=8)
+    model, _, history = cm.train(frame(spark, texts).select("text"), p)
+    plain, _, _ = cm.train(frame(spark, texts).select("text"), replace(p, placed=False))
+    assert history == sorted(history)
+    words = model.words
+    for often, few in kinds:
+        own = Counter(words[w.encode()][0] for w in often).most_common(1)[0][0]
+        assert sum(words[w.encode()][0] == own for w in few) >= 10
+    assert all(plain.words[w.encode()][0] >= plain.clustered_classes for _, few in kinds for w in few)
+    held = frame(spark, [" ".join(rng.choice(kinds[i % 4][rng.random() < 0.1]) for i in range(40)) for _ in range(50)])
+    total = lambda m, c: sum(r.score for r in cm.score(held, m, c).collect())
+    _, counts, _ = cm.train(frame(spark, texts).select("text"), p)
+    assert total(model, counts) > total(plain, counts)
+
+
 def test_empty_tables(spark):
     model, counts, _ = cm.train(frame(spark, []).select("text"), P)
     r = cm.score(frame(spark, ["a b"]), model, counts).collect()[0]
