@@ -245,6 +245,7 @@ def gains(contexts: Iterator[np.ndarray], classes: np.ndarray, table: np.ndarray
     f = lambda x: x * np.log(np.maximum(x, 1))
     size = len(table)
     cells = np.concatenate([table.T, table])  # a row a code, a column a class
+    known = f(cells)
     sums = table.sum(axis=1), table.sum(axis=0)
 
     def judged(words: np.ndarray, gain: np.ndarray, follows: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -262,7 +263,7 @@ def gains(contexts: Iterator[np.ndarray], classes: np.ndarray, table: np.ndarray
         w, code, n = rows[:, 0], rows[:, 1], rows[:, 2].astype(float)
         words, first = np.unique(w, return_index=True)
         own = cells[code, classes[w]]
-        change = np.column_stack([f(cells[code, :k] + n[:, None]) - f(cells[code, :k]), f(own) - f(own - n)])
+        change = np.column_stack([f(cells[code, :k] + n[:, None]) - known[code, :k], f(own) - f(own - n)])
         gain = np.add.reduceat(change, first)
         follows, before = (np.add.reduceat(np.where(side, n, 0.0), first) for side in (code < size, code >= size))
         if held is not None and held[0][0] == words[0]:
@@ -281,8 +282,7 @@ def place(texts: DataFrame, sent: dict[bytes, int], clustered: int, classes: np.
     """(class of each sent word, class bigram table) once the words after the first `clustered` have joined classes.
 
     `classes` are those so far of the sent words, by number. Two passes over the texts: one for what stands beside each
-    such word, one for the new table. Moves are taken only if they raise the likelihood together, else half of
-    them, and so on. What reaches the driver is bounded by the parameters.
+    such word, one for the new table. What reaches the driver is bounded by the parameters.
     """
     spark = texts.sparkSession
     base, size = len(sent), len(table)
@@ -335,13 +335,11 @@ def place(texts: DataFrame, sent: dict[bytes, int], clustered: int, classes: np.
             out[cell] = n
         return out.reshape(size, size)
 
-    while moves:
-        new = classes.copy()
-        new[[w for w, _ in moves]] = [c for _, c in moves]
-        if likelihood(t := renewed(new)) > likelihood(table):
-            return new, t
-        moves = moves[::2] if len(moves) > 1 else []
-    return classes, table
+    if not moves:
+        return classes, table
+    new = classes.copy()
+    new[[w for w, _ in moves]] = [c for _, c in moves]
+    return new, renewed(new)
 
 
 @dataclass(frozen=True)

@@ -123,8 +123,9 @@ def test_gains_equal_plain_likelihood(batch):
     """Neighbours are of other classes than those a word leaves or may join: then a move changes no cell twice."""
     rng = np.random.default_rng(8)
     k, size = 4, 9
-    pairs = [(a, b) for a in range(size) for b in range(size) for _ in range(rng.integers(0, 30))]
+    pairs = [(a, b) for a in range(size) for b in range(size) for _ in range(rng.integers(0, 30) + 200 * (a < k and b == k + a % 3))]
     words = {w: [(int(rng.integers(k, size - 2)), int(rng.integers(k, size - 2))) for _ in range(rng.integers(1, 9))] for w in range(30)}
+    words |= {w: [(before, k + w % 3) for before, _ in words[w]] for w in range(0, 30, 2)}
     classes = np.full(30, size - 2)  # the class all leave; the last one is the end
     table = np.zeros((size, size))
     for a, b in pairs:
@@ -150,7 +151,7 @@ def test_gains_equal_plain_likelihood(batch):
         values = [value(t) for t in options]
         best = int(np.argmax(values))
         assert got.get(w) == (best if values[best] > value(table) + 1e-6 else None)
-    assert 0 < len(got)
+    assert 0 < len(got) < 30
 
 
 def test_placed_words_follow_their_neighbours(spark):
