@@ -4,7 +4,8 @@ The `clustered` most frequent words are put into classes by the exchange algorit
 the class that raises the likelihood of the class bigrams most. Sweeps run on Spark: words are dealt
 out, each task moves its words against the classes of the sweep before, and the table of classes (one
 number a clustered word) is renewed between sweeps. The further words that tasks are sent then join the class
-that raises the likelihood most, against these classes, in one pass over the texts. Words too rare to be
+that raises the likelihood most, against these classes, in one pass over the texts, which are read as numbers
+once the words that tasks are sent are known. Words too rare to be
 sent belong to classes by their last letters, which a task can tell without a lookup; so does a sent word that
 no class gains from. The end of a text is a class of its own.
 
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ class ClassParams:
     emission_add: float = 1.0
 
 
-END = b""  # no word is empty, so this stands for the end of a text
+PIECE = 1_000  # pairs of units in a row of coded text
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -77,19 +79,52 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _pairs(texts: DataFrame, clustered: dict[bytes, int], p: ClassParams) -> DataFrame:
+def coded(texts: DataFrame, sent: dict[bytes, int], p: ClassParams) -> DataFrame:
+    """(units): the texts as int32 numbers in rows of `PIECE` pairs, so that later passes read no words.
+
+    Units: sent words, then spelling classes, then the end. A task's texts follow one another with an end between
+    them; a row begins with the last unit of the row before, so every pair of neighbours is in one row.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(sent)
+    base = len(sent)
+    end = np.array([base + p.spellings], np.int32)
+
+    def run(batches):
+        of = _Units(shared.value, base, p)
+        for batch in slices(batches, "text"):
+            parts = [end]
+            for raw in binary_texts(batch.column("text")).to_pylist():
+                words = words_of(raw)
+                parts += [np.fromiter(map(of.__getitem__, words), np.int32, len(words)), end]
+            u = np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([u[i : i + PIECE + 1].tobytes() for i in range(0, len(u) - 1, PIECE)], pa.binary())], ["units"])
+
+    return texts.mapInArrow(run, "units binary")
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(units, units that follow them) of rows of `coded`."""
+    for batch in slices(batches, "units"):
+        flat = np.frombuffer(b"".join(batch.column("units").to_pylist()), np.int32)
+        ends = np.cumsum(pc.binary_length(batch.column("units")).to_numpy(zero_copy_only=False)) // 4
+        inside = np.ones(len(flat) - 1, bool)
+        inside[ends[:-1] - 1] = False
+        yield flat[:-1][inside], flat[1:][inside]
+
+
+def _pairs(pieces: DataFrame, top: list[bytes], clustered: int, p: ClassParams) -> DataFrame:
     """(a, b, n): how often unit b follows unit a. Units: clustered words, then spelling classes, then the end."""
-    shared = texts.sparkSession.sparkContext.broadcast(clustered)
-    base = len(clustered)
-    units = base + p.spellings + 1
+    units = clustered + p.spellings + 1
+    spelled = [clustered + spelling(w, p) for w in top[clustered:]]
+    of_unit = pieces.sparkSession.sparkContext.broadcast(np.concatenate([np.arange(clustered), spelled, np.arange(clustered, units)]).astype(np.int64))
 
     def run(batches):
         held: list[np.ndarray] = []
         size = 0
-        for u in _unit_texts(batches, _Units(shared.value, base, p), units - 1):
-            held.append(u[:-1] * units + u[1:])
-            size += len(u)
-            if size > 1_500_000:
+        for a, b in neighbours(batches):
+            held.append(of_unit.value[a] * units + of_unit.value[b])
+            size += len(a)
+            if size > 4_000_000:
                 yield summed(held)
                 held, size = [], 0
         if held:
@@ -99,14 +134,14 @@ def _pairs(texts: DataFrame, clustered: dict[bytes, int], p: ClassParams) -> Dat
         code, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(code // units, pa.int32()), pa.array(code % units, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return pieces.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 class _Units(dict):
-    """Unit of a word; what is not clustered is remembered up to a number."""
+    """Unit of a word; what is not sent is remembered up to a number."""
 
-    def __init__(self, clustered: dict[bytes, int], base: int, p: ClassParams):
-        super().__init__(clustered)
+    def __init__(self, sent: dict[bytes, int], base: int, p: ClassParams):
+        super().__init__(sent)
         self.base, self.p = base, p
 
     def __missing__(self, word: bytes) -> int:
@@ -116,13 +151,6 @@ class _Units(dict):
         return unit
 
 
-def _unit_texts(batches: Iterator[pa.RecordBatch], of: _Units, end: int) -> Iterator[np.ndarray]:
-    """Units of each text's words, the end before and after them."""
-    for batch in slices(batches, "text"):
-        for raw in binary_texts(batch.column("text")).to_pylist():
-            yield np.concatenate(([end], np.fromiter(map(of.__getitem__, words_of(raw)), np.int64), [end]))
-
-
 def moved(words: list[int], follows: dict[int, tuple[np.ndarray, np.ndarray]], precedes: dict[int, tuple[np.ndarray, np.ndarray]], classes: np.ndarray, table: np.ndarray, k: int, most: int) -> list[tuple[int, int]]:
     """(word, new class) for up to `most` words that gain most by moving, against fixed classes of the others.
 
@@ -278,28 +306,26 @@ def gains(contexts: Iterator[np.ndarray], classes: np.ndarray, table: np.ndarray
         yield from judged(*held)
 
 
-def place(texts: DataFrame, sent: dict[bytes, int], clustered: int, classes: np.ndarray, table: np.ndarray, p: ClassParams) -> tuple[np.ndarray, np.ndarray]:
+def place(pieces: DataFrame, clustered: int, classes: np.ndarray, table: np.ndarray, p: ClassParams) -> tuple[np.ndarray, np.ndarray]:
     """(class of each sent word, class bigram table) once the words after the first `clustered` have joined classes.
 
-    `classes` are those so far of the sent words, by number. Two passes over the texts: one for what stands beside each
-    such word, one for the new table. What reaches the driver is bounded by the parameters.
+    `classes` are those so far of the sent words, by number. Two passes over the coded texts: one for what stands beside
+    each such word, one for the new table. What reaches the driver is bounded by the parameters.
     """
-    spark = texts.sparkSession
-    base, size = len(sent), len(table)
+    spark = pieces.sparkSession
+    base, size = len(classes), len(table)
     k = size - p.spellings - 1
     rest = np.arange(k, size)  # classes by last letters, and the end
-    shared = spark.sparkContext.broadcast((sent, np.concatenate([classes, rest])))
     state = spark.sparkContext.broadcast((classes, table))
 
     def contexts(batches):
-        names, of_unit = shared.value
+        cls = np.concatenate([state.value[0], rest])
         held: list[np.ndarray] = []
         held_size = 0
-        for u in _unit_texts(batches, _Units(names, base, p), len(of_unit) - 1):
-            at = np.flatnonzero((u >= clustered) & (u < base))
-            cls, code = of_unit[u], u[at] * (2 * size)
-            held += [code + cls[at + 1], code + size + cls[at - 1]]
-            held_size += 2 * len(at)
+        for a, b in neighbours(batches):
+            left, right = (a >= clustered) & (a < base), (b >= clustered) & (b < base)
+            held += [a[left] * np.int64(2 * size) + cls[b[left]], b[right] * np.int64(2 * size) + size + cls[a[right]]]
+            held_size += len(held[-2]) + len(held[-1])
             if held_size > 4_000_000:
                 yield summed(held)
                 held, held_size = [], 0
@@ -316,22 +342,21 @@ def place(texts: DataFrame, sent: dict[bytes, int], clustered: int, classes: np.
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in new], pa.int32()), pa.array([c for _, c in new], pa.int32())], ["w", "c"])
 
     # Dealt by word before they are added up, so that the sum and the words' rows need one shuffle.
-    beside = texts.mapInArrow(contexts, "w int, code int, n long").repartition("w").groupBy("w", "code").agg(F.sum("n").alias("n"))
+    beside = pieces.mapInArrow(contexts, "w int, code int, n long").repartition("w").groupBy("w", "code").agg(F.sum("n").alias("n"))
     moves = sorted((r.w, r.c) for r in beside.sortWithinPartitions("w").mapInArrow(judge, "w int, c int").collect())
 
     def renewed(of_sent: np.ndarray) -> np.ndarray:
         of_unit = spark.sparkContext.broadcast(np.concatenate([of_sent, rest]))
 
         def run(batches):
-            names, total = shared.value[0], np.zeros(size * size, np.int64)
-            for u in _unit_texts(batches, _Units(names, base, p), base + p.spellings):
-                cls = of_unit.value[u]
-                np.add.at(total, cls[:-1] * size + cls[1:], 1)
+            total = np.zeros(size * size, np.int64)
+            for a, b in neighbours(batches):
+                total += np.bincount(of_unit.value[a] * size + of_unit.value[b], minlength=size * size)
             cells = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], ["cell", "n"])
 
         out = np.zeros(size * size)
-        for cell, n in texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        for cell, n in pieces.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
             out[cell] = n
         return out.reshape(size, size)
 
@@ -384,14 +409,15 @@ def train(texts: DataFrame, p: ClassParams = ClassParams()) -> tuple[ClassModel,
             least_sent = r.c
             break
     top = sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") > least_sent).collect()), key=lambda x: (-x[1], x[0]))
-    clustered = {word: i for i, (word, _) in enumerate(top[: p.clustered])}
-    pairs = cut_lineage(_pairs(texts, clustered, p))
-    classes, table, history = exchange(pairs, len(clustered), p)
-    k = min(p.classes, max(1, len(clustered)))
+    clustered = min(p.clustered, len(top))
+    pieces = cut_lineage(coded(texts, {word: i for i, (word, _) in enumerate(top)}, p))
+    pairs = cut_lineage(_pairs(pieces, [word for word, _ in top], clustered, p))
+    classes, table, history = exchange(pairs, clustered, p)
+    k = min(p.classes, max(1, clustered))
     size = k + p.spellings + 1
-    of_sent = np.array([classes[i] if i < len(clustered) else k + spelling(word, p) for i, (word, _) in enumerate(top)], np.int64)
-    if p.placed and len(top) > len(clustered):
-        of_sent, table = place(texts, {word: i for i, (word, _) in enumerate(top)}, len(clustered), of_sent, table, p)
+    of_sent = np.array([classes[i] if i < clustered else k + spelling(word, p) for i, (word, _) in enumerate(top)], np.int64)
+    if p.placed and len(top) > clustered:
+        of_sent, table = place(pieces, clustered, of_sent, table, p)
         history.append(likelihood(table))
     # Tokens and distinct words by class: sent words from the list, others by their spelling.
     tokens, words = np.zeros(size), np.zeros(size)

@@ -34,7 +34,7 @@ def tokens(text):
 
 
 def test_scores_equal_plain_computation(spark):
-    train, held = corpus(1), corpus(2, 60) + ["unseen words noun1 here", "noun1 " * 5000]
+    train, held = corpus(1) + ["noun1 verb2 adj3 " * 900], corpus(2, 60) + ["unseen words noun1 here", "noun1 " * 5000]
     model, counts, history = cm.train(frame(spark, train).select("text"), P)
     c = Counter(w for t in train for w in tokens(t))
     ends, n = len(train), sum(c.values()) + len(train)
