@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from demandflow.llm import neighbours as nn
@@ -76,3 +77,24 @@ def test_few_and_no_rows(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0], 0), (7, [1.0, 1.0], 0)], SHAPE)
     assert [i for i, _ in found(nn.nearest_neighbours(d, d.where("vec_id = 0")))[0]] == [7]
     assert nn.nearest_neighbours(d.limit(0), d).collect() == [] and nn.nearest_neighbours(d, d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("dim", [2, 16])
+def test_gaps_of_cells_are_no_longer_than_distances(dim):
+    """Vectors of a length without centres share a cell of their own; coinciding centres are one."""
+    x = np.array([v for _, v in rows_of(4, 600, dim)], np.float64)
+    cells = nn.Cells([v.tolist() for v in x[:40]] + [(2 * x[0]).tolist(), [1.0]])
+    first, centres = cells.of[dim]
+    home, far = cells.home(pd.Series([*x, [1.0, *[2.0] * dim]]))
+    assert home[-1] == -1 and far[-1] == 0 and len(centres) == 40 and set(home[:-1]) <= set(range(first, first + 40))
+    n = first + len(centres)
+    own = [far[home == c] for c in range(n)]
+    low, high = np.array([v.min(initial=2) for v in own]), np.array([v.max(initial=0) for v in own])
+    u = nn.unit(x)
+    gap = cells.gaps(u, first, centres, low, high)
+    true = nn.chord(u @ u.T)
+    for c in range(len(centres)):
+        inside = home[:-1] == first + c
+        if inside.any():
+            assert (gap[:, c] <= true[:, inside].min(axis=1) + 1e-6).all()
+    assert (gap > 0).mean() > 0.5
