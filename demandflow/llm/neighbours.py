@@ -141,7 +141,7 @@ class Cells:
         for size in np.unique(sizes):
             every = np.flatnonzero(sizes == size)
             for at in (every[i : i + 512] for i in range(0, len(every), 512)):
-                yield at, *self.of.get(int(size), (-1, None)), unit(np.stack(vectors.to_numpy()[at]))
+                yield at, *self.of.get(int(size), (-1, None)), unit(np.stack(vectors.to_numpy()[at]).astype(np.float64))
 
     def home(self, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """(cell, distance to its centre) of each vector."""
@@ -203,7 +203,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, p: SearchParams =
     candidates give fewer rows, empty tables none. The centres, at most `centres` rows of smallest hash, reach the
     driver and the tasks; every row is indexed.
     """
-    both = lambda t: usable(t.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")), "x").where("id is not null")
+    def both(t: DataFrame) -> DataFrame:
+        # Single-precision vectors stay so until they are compared: half as many bytes are shuffled.
+        x = F.col(vector) if t.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+        return usable(t.select(F.col(vec_id).cast("long").alias("id"), x.alias("x")), "x").where("id is not null")
+
     spark, context = vectors.sparkSession, vectors.sparkSession.sparkContext
     rows = both(vectors)
     wanted = min(p.centres, math.ceil(rows.count() / p.shard_rows))
@@ -214,7 +218,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, p: SearchParams =
             t["cell"], t["far"] = cells.value.home(t["x"])
             yield t
 
-    place = lambda t: cut_lineage(t.mapInPandas(housed, "id long, x array<double>, cell int, far double"))
+    kind = lambda t: t.schema["x"].dataType.simpleString()
+    place = lambda t: cut_lineage(t.mapInPandas(housed, f"id long, x {kind(t)}, cell int, far double"))
     rows, asked = place(rows), place(both(queries).dropDuplicates(["id"]))
     # A row a cell: at most the number of centres and one.
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()
@@ -231,7 +236,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, p: SearchParams =
         sizes = here["x"].map(len), ask["x"].map(len)
         for size in np.intersect1d(sizes[0].unique(), sizes[1].unique()):
             h, a = here[sizes[0] == size].sort_values("id", kind="stable"), ask[sizes[1] == size]
-            x, y = np.stack(h["x"].to_numpy()), np.stack(a["x"].to_numpy())
+            x, y = (np.stack(t["x"].to_numpy()).astype(np.float64) for t in (h, a))
             names, own = h["id"].to_numpy(np.int64), a["id"].to_numpy(np.int64)
             # Vectors of one direction are one point of the tree, and a query's own is one point more. All points up to
             # the distance of the last one count, and all vectors of a point: the exact cosine and the id decide.
@@ -282,7 +287,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, p: SearchParams =
                     for lo in range(0, len(q), 10_000):
                         yield t[["id", "x", "reach"]].iloc[at[q[lo : lo + 10_000]]].assign(cell=first + to[lo : lo + 10_000])
 
-    others = asked.join(last, "id", "left").select("id", "x", "cell", farther.alias("reach")).mapInPandas(routed, "id long, x array<double>, reach double, cell int")
+    others = asked.join(last, "id", "left").select("id", "x", "cell", farther.alias("reach")).mapInPandas(routed, f"id long, x {kind(asked)}, reach double, cell int")
     return ranked(own.unionByName(met(cut_lineage(others)))).select("query_id", "rank", "vec_id", "score")
 
 
