@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters of text a Python step works on at a time, beyond a single text; bounds its memory.
 SLICE_BYTES = 4_000_000
+#: Bits of a filter for each of its keys, bits of one of its bitmaps (Spark's fixed size), bitmaps at most: 16 MB in all.
+KEY_BITS, BITMAP_BITS, MOST_BITMAPS = 16, 32_768, 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +52,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             held += length
         if first < len(lengths):
             yield batch.slice(first)
+
+
+def likely_members(rows: DataFrame, of: Column, keys: DataFrame, key: Column) -> DataFrame:
+    """The rows with a boolean `_likely`, false only where no row of `keys` has the hash `of` as its `key`.
+
+    One bit a hash, in bitmaps that are broadcast: rows marked false need no join and stay where they are, so long
+    texts are shuffled for the others alone. About one row in KEY_BITS is marked true without a key, more
+    of them once the bitmaps are at their bound, so an exact join has to follow. `keys` are read twice.
+    """
+    wanted = math.ceil(KEY_BITS * keys.count() / BITMAP_BITS)
+    bits = BITMAP_BITS * min(MOST_BITMAPS, 1 << max(0, wanted - 1).bit_length())
+    bitmap = lambda place: F.shiftright(place, 15)
+    bit = lambda place: place.bitwiseAND(F.lit(BITMAP_BITS - 1))
+    places = keys.select(F.pmod(key, F.lit(bits)).alias("_place")).select(bitmap(F.col("_place")).alias("_bitmap"), bit(F.col("_place")).alias("_bit"))
+    maps = places.repartition("_bitmap").groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = F.pmod(of, F.lit(bits))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit(at), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, bit(at).bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(maps), bitmap(at) == F.col("_bitmap"), "left").withColumn("_likely", found).drop("_bitmap", "_bits")

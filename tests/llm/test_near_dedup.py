@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from demandflow.llm import common
 from demandflow.llm import near_dedup as nd
 
 
@@ -94,3 +96,35 @@ def test_kept_documents(spark):
 def test_least_shared_is_a_tail_bound():
     p = nd.NearParams(width=3, percent=85)
     assert 10 <= p.least_shared <= 16 and nd.NearParams(percent=100).least_shared == p.k
+
+
+def test_rows_that_are_not_listed_stay_in_place(spark):
+    """Long rows are shuffled only where an id may be dropped or repeated, whatever Spark would broadcast."""
+    docs = corpus(5)
+    ids = [(7919 * i) % 100_003 for i, _ in docs]
+    want = plain([(n, t) for n, (_, t) in zip(ids, docs)], 5, 80)
+    d = spark.createDataFrame([(n, t) for n, (_, t) in zip(ids, docs)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = [r.doc_id for r in nd.one_of_each(d).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    kept = [n for n in ids if want[n][1] == n]
+    assert sorted(got) == sorted(kept)
+    place = {n: i for i, n in enumerate(ids)}
+    first = [place[n] for n in got[: len(kept) * 4 // 5]]
+    assert first == sorted(first)
+
+
+@pytest.mark.parametrize(("n", "bitmaps"), [(0, 4096), (3000, 4096), (3000, 1)])
+def test_likely_members_miss_no_key(spark, monkeypatch, n, bitmaps):
+    monkeypatch.setattr(common, "MOST_BITMAPS", bitmaps)
+    keys = spark.range(n).select((F.col("id") * 7).alias("k"))
+    rows = spark.range(40_000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"))
+    got = common.likely_members(rows, F.xxhash64("id"), keys, F.xxhash64("k"))
+    assert got.columns == ["id", "_likely"]
+    likely = {r.id: r["_likely"] for r in got.collect()}
+    assert len(likely) == 40_000 and all(likely[i] for i in range(7, 7 * n, 7))
+    others = [v for i, v in likely.items() if i is None or i % 7 or i >= 7 * n]
+    assert sum(others) <= len(others) * min(1, (2 * n / (32_768 * min(bitmaps, 2))))
