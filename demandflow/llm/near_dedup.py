@@ -32,6 +32,9 @@ from demandflow.llm.common import likely_members, slices
 from demandflow.llm.shingles import shingle_sets
 from demandflow.session import checkpoint, cut_lineage, temporary_cuts
 
+#: Text hashed at a time: words, their hashes and joins take many times its bytes in a Python worker.
+HASHED_BYTES = 1_000_000
+
 
 @dataclass(frozen=True)
 class NearParams:
@@ -69,7 +72,7 @@ def _sketches(docs: DataFrame, p: NearParams) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", HASHED_BYTES):
             nodes, sizes, heads = [], [], []
             for s in shingle_sets(batch.column("text"), p.width):
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -84,7 +87,7 @@ def _sets(docs: DataFrame, p: NearParams) -> DataFrame:
     """(node, s): sorted shingle sets of documents that carry the wanted node; others by the same id are left out."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", HASHED_BYTES):
             nodes, sets = [], []
             for want, s in zip(batch.column("want").to_pylist(), shingle_sets(batch.column("text"), p.width)):
                 if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want:
